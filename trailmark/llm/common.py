@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,10 +30,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/trailmark-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go as soon as it is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with cleaning(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

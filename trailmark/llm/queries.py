@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import url_filter as urls
-from .common import table
+from .common import held_out, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,10 +25,31 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import dictionaries, identify, training_rows
+
+    docs = table(spark, sf_dir, "documents")
+    learned = dictionaries(docs.where(training_rows(docs)))
+    seen = identify(docs.select("doc_id", "text"), learned)
+    return seen.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op4_url_filter)}
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_secret_scan, op3_language_id, op4_url_filter, op6_media_columns)}
 
 ORACLES = {"op4_url_filter": urls.oracle_sql()}
