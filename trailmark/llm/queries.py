@@ -50,6 +50,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_secret_scan, op3_language_id, op4_url_filter, op6_media_columns)}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_classes
+
+    return ngram_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_secret_scan, op3_language_id, op4_url_filter, op6_media_columns, op9_ngram_jaccard_join)}
 
 ORACLES = {"op4_url_filter": urls.oracle_sql()}
