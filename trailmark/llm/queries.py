@@ -50,12 +50,29 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    count = lambda k: F.size(F.filter("pii_base", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)), F.sha2(pii.spelled(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), pii.spelled(F.col("pii_spans")).alias("spans")
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_classes
 
     return ngram_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_secret_scan, op3_language_id, op4_url_filter, op6_media_columns, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_secret_scan, op3_language_id, op4_url_filter, op6_media_columns, op7_pii, op8_decontamination, op9_ngram_jaccard_join)}
 
 ORACLES = {"op4_url_filter": urls.oracle_sql()}
