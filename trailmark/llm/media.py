@@ -30,8 +30,10 @@ from .common import blocks, cleaning, shared_folder, written
 #: Bytes of the shortest and longest chunk, and high bits of the hash that are zero at a cut (8 KiB on average).
 LEAST, MOST, BITS = 2048, 65536, 13
 UNIT = 64
-#: Level of the stored chunks.
-LEVEL = 9
+#: Level of the stored chunks, which are moved twice and kept: small ones are worth the time.
+LEVEL = 15
+#: Bytes of a payload's digest that recipes go by; the whole digest is checked on reading.
+KEY = 16
 #: Output rows of the chunk pass are handed on in batches of about so many bytes.
 BATCH_BYTES = 8_000_000
 
@@ -82,12 +84,12 @@ def _cut(block: pa.RecordBatch, text_col: str):
 
 
 def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_bytes, payload_bytes, payload binary: its digest, chunks array<binary>: digests in order)."""
+    """Rows (id, n_bytes, payload_bytes, payload binary: KEY bytes of its digest, chunks array<binary>: digests in order)."""
 
     def run(batches):
         sha = lambda b: hashlib.sha256(b).digest()
         for block in blocks(batches, text_col):
-            rows = [(n, len(p), sha(p), [sha(c) for c in chunks]) for n, p, chunks in _cut(block, text_col)]
+            rows = [(n, len(p), sha(p)[:KEY], [sha(c) for c in chunks]) for n, p, chunks in _cut(block, text_col)]
             n, size, name, chunks = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [block.column(id_col), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))],
@@ -99,25 +101,27 @@ def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def chunks_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (digest binary, size int, blob binary) of all chunks; a task names a chunk once in each block."""
+    """Rows (digest binary, blob binary) of all chunks; a task hands a chunk on once, so one that a third of all texts share is no hot key."""
 
     def run(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        seen: set[bytes] = set()
         for block in blocks(batches, text_col):
-            new: dict[bytes, tuple[int, bytes]] = {}
+            new: dict[bytes, bytes] = {}
             for _, _, chunks in _cut(block, text_col):
                 for c in chunks:
                     d = hashlib.sha256(c).digest()
-                    if d not in new:
-                        new[d] = (len(c), pack(c))
+                    if d not in seen:
+                        seen.add(d)
+                        new[d] = pack(c)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(new), pa.binary()), pa.array([x[0] for x in new.values()], pa.int32()), pa.array([x[1] for x in new.values()], pa.binary())],
-                names=["digest", "size", "blob"],
+                [pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())],
+                names=["digest", "blob"],
             )
 
-    return docs.select(text_col).mapInArrow(run, "digest binary, size int, blob binary")
+    return docs.select(text_col).mapInArrow(run, "digest binary, blob binary")
 
 
 def store_chunks(docs: DataFrame, text_col: str = "text", existing: DataFrame | None = None) -> DataFrame:
@@ -129,23 +133,21 @@ def store_chunks(docs: DataFrame, text_col: str = "text", existing: DataFrame |
     chunks = chunks_of(docs, text_col)
     if existing is not None:
         chunks = chunks.join(existing.select("digest"), "digest", "left_anti")
-    # One row of a digest leaves each map task, so a chunk that a third of all texts share is no hot key.
-    once = chunks.groupBy("digest").agg(F.first("size").alias("size"), F.first("blob").alias("blob"))
     name = f"trailmark_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with cleaning(spark):
-        once.repartition(buckets, "digest").write.option("compression", "uncompressed").option("path", shared_folder(spark, "chunks")).bucketBy(buckets, "digest").saveAsTable(name)
+        chunks.repartition(buckets, "digest").dropDuplicates(["digest"]).write.option("compression", "uncompressed").option("path", shared_folder(spark, "chunks")).bucketBy(buckets, "digest").saveAsTable(name)
     return spark.table(name)
 
 
 def read_payloads(recipes: DataFrame, store: DataFrame, feature) -> DataFrame:
     """Reads the payloads of ``recipes`` back from ``store`` and describes them; equal payloads are read once.
 
-    ``feature``: (payload, n_chunks) -> string.  Rows (payload, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
+    ``feature``: (payload, n_chunks) -> string.  Rows (payload, sha binary, tail_crc32, media_bytes, media binary, feature), digests as bytes.
     """
     wanted = recipes.select("payload", "chunks").dropDuplicates(["payload"])
     parts = wanted.select("payload", F.posexplode("chunks").alias("seq", "digest")).join(store, "digest")
-    laid = parts.select("payload", "seq", "digest", "size", "blob").repartition("payload").sortWithinPartitions("payload", "seq")
+    laid = parts.select("payload", "seq", "blob").repartition("payload").sortWithinPartitions("payload", "seq")
 
     def run(batches):
         import zstandard
@@ -154,20 +156,21 @@ def read_payloads(recipes: DataFrame, store: DataFrame, feature) -> DataFrame:
         now, found, rows, size = None, [], [], 0
 
         def close():
-            payload = b"".join(unpack(blob) for _, _, blob in found)
+            chunks = [unpack(blob) for blob in found]
+            payload = b"".join(chunks)
             sha = hashlib.sha256(payload).digest()
-            if sha != now:
+            if sha[:KEY] != now:
                 raise ValueError(f"payload {now.hex()} came back as {sha.hex()}")
-            media = b"".join(d + struct.pack("<I", n) for d, n, _ in found) + b"".join(blob for _, _, blob in found)
-            return now, sha.hex(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, len(found))
+            media = b"".join(hashlib.sha256(c).digest() + struct.pack("<I", len(c)) for c in chunks) + b"".join(found)
+            return now, sha, zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).digest(), feature(payload, len(found))
 
         for b in batches:
-            for payload, d, n, blob in zip(*(b.column(c).to_pylist() for c in ("payload", "digest", "size", "blob")), strict=True):
+            for payload, blob in zip(b.column("payload").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 if payload != now:
                     if found:
                         rows.append(close())
                     now, found = payload, []
-                found.append((d, n, blob))
+                found.append(blob)
             if len(rows) > 5000:
                 yield _rows(rows)
                 rows = []
@@ -176,11 +179,11 @@ def read_payloads(recipes: DataFrame, store: DataFrame, feature) -> DataFrame:
         if rows:
             yield _rows(rows)
 
-    return laid.mapInArrow(run, "payload binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return laid.mapInArrow(run, "payload binary, sha binary, tail_crc32 long, media_bytes long, media binary, feature string")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("payload", pa.binary()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    kinds = [("payload", pa.binary()), ("sha", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media", pa.binary()), ("feature", pa.string())]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
 
@@ -198,7 +201,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     store = store_chunks(docs, text_col)
     recipes = written(recipes_of(docs, id_col, text_col), "recipes")
     read = read_payloads(recipes, store, byte_feature)
-    return recipes.drop("chunks").join(read, "payload").drop("payload")
+    hexed = lambda c: F.lower(F.hex(c))
+    return recipes.drop("chunks").join(read, "payload").select(
+        id_col, "n_bytes", "payload_bytes", hexed("sha").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature"
+    )
 
 
 def drop_tables(spark: SparkSession) -> None:
