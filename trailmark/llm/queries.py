@@ -44,6 +44,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -73,6 +79,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_secret_scan, op3_language_id, op4_url_filter, op6_media_columns, op7_pii, op8_decontamination, op9_ngram_jaccard_join)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "clauses")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_secret_scan, op3_language_id, op4_url_filter, op5_html_extraction, op6_media_columns, op7_pii, op8_decontamination, op9_ngram_jaccard_join, op10_toxicity)}
 
 ORACLES = {"op4_url_filter": urls.oracle_sql()}
