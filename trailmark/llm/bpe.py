@@ -295,8 +295,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
-    """Rows (id, ``n_tokens`` long, ``ids`` binary: unsigned 32-bit little-endian[, ``decoded`` string]) for every row of ``docs``.
+def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id[, columns to keep], ``n_tokens`` long, ``ids`` binary: unsigned 32-bit little-endian[, ``decoded`` string]) for every row of ``docs``.
 
     ``with_decoded`` also decodes the packed ids again in the same pass.
     """
@@ -316,7 +316,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     fields = [("n_tokens", pa.int64()), ("ids", pa.binary())] + ([("decoded", pa.string())] if with_decoded else [])
     kinds = "n_tokens long, ids binary" + (", decoded string" if with_decoded else "")
-    return map_text(docs.select(id_col, text_col), make, kinds, pa.schema(fields), text_col)
+    return map_text(docs.select(id_col, *keep, text_col), make, kinds, pa.schema(fields), text_col)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:

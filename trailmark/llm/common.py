@@ -73,12 +73,13 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(at)
 
 
-def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, out: pa.Schema, text: str = "text") -> DataFrame:
+def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, out: pa.Schema, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Arrow-batched map: ``make()`` is called once a task and gives a function from a list of texts (never null) to columns.
 
-    ``out`` names the added columns; all columns of ``df`` but ``text`` pass through in front of them.
+    ``out`` names the added columns; all columns of ``df`` (without ``text`` unless it is
+    kept) pass through in front of them.
     """
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if keep_text or c != text]
 
     def run(batches):
         f = make()
@@ -89,7 +90,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
                 names=[*keep, *out.names],
             )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
     return df.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
 
 

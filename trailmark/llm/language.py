@@ -119,8 +119,8 @@ def _margin(sizes: list[int]) -> float:
     return (second - first) / second
 
 
-def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """All columns of ``docs`` but the text, with ``lang_pred`` string, ``lang_score`` double, ``lang_accepted`` boolean."""
+def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` (the text only if kept) with ``lang_pred`` string, ``lang_score`` double, ``lang_accepted`` boolean."""
 
     def make():
         judge = Classifier(contents)
@@ -132,7 +132,14 @@ def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text"
         return f
 
     out = pa.schema([("lang_pred", pa.string()), ("lang_score", pa.float64()), ("lang_accepted", pa.bool_())])
-    return map_text(docs, make, "lang_pred string, lang_score double, lang_accepted boolean", out, text_col)
+    return map_text(docs, make, "lang_pred string, lang_score double, lang_accepted boolean", out, text_col, keep_text)
+
+
+def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is clear, with the predicted language as theirs; learned from ``docs`` itself."""
+    names = docs.columns
+    seen = identify(docs, dictionaries(docs.where(training_rows(docs, id_col)), text_col, lang_col), text_col, keep_text=True)
+    return seen.where("lang_accepted").withColumn(lang_col, F.col("lang_pred")).select(*names)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:

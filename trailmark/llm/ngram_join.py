@@ -254,8 +254,8 @@ def _gram_sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(run, f"{kept}, members binary")
 
 
-def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, class_id, n_links long, class_size long) for every row of ``docs``."""
+def _placed(docs: DataFrame, n: int, threshold: float, recall: float, tile: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, key, root, n_links) for every row of ``docs``: the digest of its text, the set that stands for its class (null without words)."""
     bands, rows = bands_and_rows(threshold, recall)
     signed = written(signatures(docs, bands, rows, n, id_col, text_col), "signatures")
 
@@ -281,9 +281,27 @@ def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
     tied = components(links.select(F.col("grams").alias("u"), F.col("root").alias("v")), "classes")
     counted = links.groupBy("grams").agg(F.sum("links").alias("n_links"))
     known = counted.join(tied.select(F.col("node").alias("grams"), "root"), "grams", "left").select("grams", "n_links", F.coalesce("root", "grams").alias("root"))
-    placed = signed.select(id_col, "grams").join(known, "grams", "left").select(id_col, F.coalesce("root", "grams").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = written(placed, "placed")
+    placed = signed.select(id_col, "key", "grams").join(known, "grams", "left").select(id_col, "key", F.coalesce("root", "grams").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return written(placed, "placed")
+
+
+def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, class_id, n_links long, class_size long) for every row of ``docs``."""
+    placed = _placed(docs, n, threshold, recall, tile, id_col, text_col)
     classes = placed.where("root is not null").groupBy("root").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(classes, "root", "left").select(
         id_col, F.when(F.col("root").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), "n_links", F.coalesce("class_size", F.lit(1)).alias("class_size")
     )
+
+
+def one_of_each_class(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of least id of each class (any one, if all ids are null), and all rows without words."""
+    names = docs.columns
+    placed = _placed(docs, n, threshold, recall, tile, id_col, text_col)
+    first = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("key").alias("key"))).alias("m"))
+    kept = first.select(F.col("m.id").alias("trailmark_id"), F.col("m.key").alias("trailmark_kept"))
+    wordless = placed.where("root is null").select(F.col("key").alias("trailmark_key")).distinct()
+    keyed = docs.withColumn("trailmark_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    ones = keyed.join(kept, (F.col("trailmark_key") == F.col("trailmark_kept")) & F.col(id_col).eqNullSafe(F.col("trailmark_id")), "left_semi")
+    ones = ones.dropDuplicates([id_col, "trailmark_key"])
+    return ones.select(*names).unionByName(keyed.join(wordless, "trailmark_key", "left_semi").select(*names))

@@ -32,7 +32,7 @@ TRAIN_ROWS = 30_000
 LEXICON = 5_000
 #: A learned word or word beginning stands in so many toxic rows and different contexts at least, and raises the odds by e to
 #: this power.
-LEAST_ROWS, LEAST_CONTEXTS, LEAST_LOG_ODDS = 6, 5, 4.2
+LEAST_ROWS, LEAST_CONTEXTS, LEAST_LOG_ODDS = 6, 5, 3.9
 #: Letters of word beginnings that are learned, for words that are longer.
 STEMS = range(4, 9)
 CUT = 0.3
