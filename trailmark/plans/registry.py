@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules of this package that register queries.
+MODULES = ("sequences", "joining", "measures")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,5 +23,13 @@ def query(sql: str | None = None):
     return add
 
 
+def load() -> None:
+    """Imports all modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"{__package__}.{name}")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["episodes"](spark, sf_dir)
