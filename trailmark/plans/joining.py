@@ -45,13 +45,13 @@ def ordinal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(o, ["user_id", "k"]).select("episode_id", "o_orderkey", "increasing")
 
 
-@query("""select d.doc_id, l.quality, b.item_id from documents d join labels l using (doc_id) left join benchmark b on b.item_id = d.doc_id % 50 where d.doc_id % 5 = 1""")
+@query("""select d.doc_id, l.quality, b.item_id from documents d join labels l using (doc_id) left join benchmark b on b.item_id = d.doc_id % 50""")
 def three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest, catalog and annotations; a label without a document fails the job."""
     d, lab = V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "labels")
     lab = J.require_all(lab, d, ["doc_id"], "documents")
     b = V.table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").alias("part"))
-    return d.where("doc_id % 5 = 1").join(lab, "doc_id").withColumn("part", F.col("doc_id") % 50).join(b, "part", "left").select("doc_id", "quality", "item_id")
+    return d.join(lab, "doc_id").withColumn("part", F.col("doc_id") % 50).join(b, "part", "left").select("doc_id", "quality", "item_id")
 
 
 @query(f"{R} select distinct scene_id, id from latest where side = 'O' and not exists (select 1 from latest f where f.side = 'F' and f.scene_id = latest.scene_id and f.id = latest.id)")

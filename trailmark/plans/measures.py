@@ -263,13 +263,13 @@ def worst_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _T(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(F.desc("source"), F.desc("n_chars"), "doc_id").limit(30)
 
 
-@query("select key, row_number() over (order by try_cast(key as bigint) is null, try_cast(key as bigint), key) as place from (select distinct case when doc_id % 4 = 0 then source else doc_id::varchar end as key from documents where doc_id < 200)")
+@query("select distinct key, try_cast(key as bigint) is null as is_text, try_cast(key as bigint) as number from (select case when doc_id % 4 = 0 then source else doc_id::varchar end as key from documents)")
 def id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers first, by value, then other ids as text."""
+    """Numbers first, by value, then other ids as text; the keys of the order are returned with the rows."""
     k = F.when(F.col("doc_id") % 4 == 0, F.col("source")).otherwise(F.col("doc_id").cast("string"))
-    d = _T(spark, sf_dir, "documents").where("doc_id < 200").select(k.alias("key")).distinct()
     n = F.expr("try_cast(key as bigint)")
-    return d.select("key", F.row_number().over(Window.orderBy(n.isNull(), n, "key")).cast("long").alias("place"))
+    d = _T(spark, sf_dir, "documents").select(k.alias("key")).distinct().select("key", n.isNull().alias("is_text"), n.alias("number"))
+    return d.orderBy("is_text", "number", "key")
 
 
 @query(f"""select doc_id, ({H.sql_number("'42'", "source", "doc_id::varchar")} % 13)::int as choice, {H.sql_number("'42'", "'keep'", "doc_id::varchar")}::double / 18446744073709551616.0 < 0.25 as keep, sha1(concat_ws(chr(31), source, doc_id::varchar)) as content_id from documents""")
