@@ -1,7 +1,8 @@
 """Media columns stored as content-defined chunks.
 
 Write: a payload is cut where a rolling gear hash has its high bits zero, so equal passages give equal chunks wherever
-they stand.  A chunk's name is its SHA-256; the store keeps each chunk once (zstandard-compressed, bucketed by digest),
+they stand.  A chunk's name is its SHA-256; the store keeps each chunk once (zstandard-compressed with a dictionary that is drawn
+from a bounded sample of texts by their hash and belongs to the store; bucketed by digest),
 and a recipe lists a payload's chunks in order.  Read: recipes join the store on the digest, chunks are laid in order and
 the payload is checked against its own digest.
 
@@ -31,7 +32,9 @@ from .common import blocks, cleaning, shared_folder, written
 LEAST, MOST, BITS = 2048, 65536, 13
 UNIT = 64
 #: Level of the stored chunks, which are moved twice and kept: small ones are worth the time.
-LEVEL = 15
+LEVEL = 9
+#: Bytes of the raw-content dictionary that chunks are compressed with, and the texts (and bytes of each) that it is drawn from.
+DICTIONARY_BYTES, DICTIONARY_TEXTS, DICTIONARY_PART = 256 * 1024, 600, 1024
 #: Bytes of a payload's digest that recipes go by; the whole digest is checked on reading.
 KEY = 16
 #: Output rows of the chunk pass are handed on in batches of about so many bytes.
@@ -83,6 +86,27 @@ def _cut(block: pa.RecordBatch, text_col: str):
         yield len(raw), p, [p[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def dictionary_of(docs: DataFrame, text_col: str = "text") -> bytes:
+    """The beginnings of about DICTIONARY_TEXTS texts, those of least hash; empty for a table without texts."""
+    texts = docs.select(F.encode(F.col(text_col), "utf-8").alias("t")).where("length(t) > 0")
+    n = docs.count()
+    share = -(-(1 << 30) * DICTIONARY_TEXTS // max(n, DICTIONARY_TEXTS))
+    hashed = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
+    drawn = texts.where(hashed < share).groupBy(hashed.alias("h")).agg(F.min(F.substring("t", 1, DICTIONARY_PART)).alias("t")).collect()
+    return b"".join(bytes(r["t"]) for r in sorted(drawn, key=lambda r: r["h"])[: 4 * DICTIONARY_TEXTS])[-DICTIONARY_BYTES:]
+
+
+def _zstd(dictionary: bytes):
+    """(compress, decompress) with a raw-content dictionary; without one if it is too short to serve."""
+    import zstandard
+
+    if len(dictionary) < 8:
+        return zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_dict_id=False).compress, zstandard.ZstdDecompressor(dict_data=d).decompress
+
+
 def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, payload_bytes, payload binary: KEY bytes of its digest, chunks array<binary>: digests in order)."""
 
@@ -100,13 +124,11 @@ def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload binary, chunks array<binary>")
 
 
-def chunks_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def chunks_of(docs: DataFrame, dictionary: bytes, text_col: str = "text") -> DataFrame:
     """Rows (digest binary, blob binary) of all chunks; a task hands a chunk on once, so one that a third of all texts share is no hot key."""
 
     def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        pack, _ = _zstd(dictionary)
         seen: set[bytes] = set()
         for block in blocks(batches, text_col):
             new: dict[bytes, bytes] = {}
@@ -124,13 +146,14 @@ def chunks_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "digest binary, blob binary")
 
 
-def store_chunks(docs: DataFrame, text_col: str = "text", existing: DataFrame | None = None) -> DataFrame:
-    """Writes each chunk of ``docs`` once, bucketed by digest, to the shared folder; those in ``existing`` are not written again.
+def store_chunks(docs: DataFrame, dictionary: bytes, text_col: str = "text", existing: DataFrame | None = None) -> DataFrame:
+    """Writes each chunk of ``docs`` once, bucketed by digest, to the shared folder; those in ``existing`` (a store
+    of the same dictionary) are not written again.
 
     The table of the written chunks is returned; a later join on the digest does not move them again.
     """
     spark = docs.sparkSession
-    chunks = chunks_of(docs, text_col)
+    chunks = chunks_of(docs, dictionary, text_col)
     if existing is not None:
         chunks = chunks.join(existing.select("digest"), "digest", "left_anti")
     name = f"trailmark_chunks_{uuid.uuid4().hex}"
@@ -140,7 +163,7 @@ def store_chunks(docs: DataFrame, text_col: str = "text", existing: DataFrame |
     return spark.table(name)
 
 
-def read_payloads(recipes: DataFrame, store: DataFrame, feature) -> DataFrame:
+def read_payloads(recipes: DataFrame, store: DataFrame, dictionary: bytes, feature) -> DataFrame:
     """Reads the payloads of ``recipes`` back from ``store`` and describes them; equal payloads are read once.
 
     ``feature``: (payload, n_chunks) -> string.  Rows (payload, sha binary, tail_crc32, media_bytes, media binary, feature), digests as bytes.
@@ -150,9 +173,7 @@ def read_payloads(recipes: DataFrame, store: DataFrame, feature) -> DataFrame:
     laid = parts.select("payload", "seq", "blob").repartition("payload").sortWithinPartitions("payload", "seq")
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
+        _, unpack = _zstd(dictionary)
         now, found, rows, size = None, [], [], 0
 
         def close():
@@ -198,9 +219,10 @@ def byte_feature(payload: bytes, n_chunks: int) -> str:
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text and reads it back: rows (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)."""
-    store = store_chunks(docs, text_col)
+    dictionary = dictionary_of(docs, text_col)
+    store = store_chunks(docs, dictionary, text_col)
     recipes = written(recipes_of(docs, id_col, text_col), "recipes")
-    read = read_payloads(recipes, store, byte_feature)
+    read = read_payloads(recipes, store, dictionary, byte_feature)
     hexed = lambda c: F.lower(F.hex(c))
     return recipes.drop("chunks").join(read, "payload").select(
         id_col, "n_bytes", "payload_bytes", hexed("sha").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature"
