@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from .common import held_out, map_text
 
 #: Labelled rows that are learned from at most (the expected number; drawn by hash).
-TRAIN_ROWS = 30_000
+TRAIN_ROWS = 20_000
 #: Entries of the learned lexicon at most, the strongest first.
 LEXICON = 5_000
 #: A learned word or word beginning stands in so many toxic rows and different contexts at least, and raises the odds by e to
 #: this power.
-LEAST_ROWS, LEAST_CONTEXTS, LEAST_LOG_ODDS = 6, 5, 3.9
+LEAST_ROWS, LEAST_CONTEXTS, LEAST_LOG_ODDS = 6, 5, 4.4
 #: Letters of word beginnings that are learned, for words that are longer.
 STEMS = range(4, 9)
 CUT = 0.3
@@ -158,9 +158,12 @@ class Model:
         return found
 
     def score(self, text: str) -> float:
+        return self.score_of(self.matches(text))
+
+    def score_of(self, matches: list[tuple[str, float]]) -> float:
         """1 - product over matched clauses of (1 - probability * weight)."""
         miss = 1.0
-        for pattern, weight in self.matches(text):
+        for pattern, weight in matches:
             miss *= 1 - min(0.999, self.patterns[pattern] * weight)
         return 1 - miss
 
@@ -194,15 +197,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = lambda x: F.concat(
         F.when(F.length(x) > 2, F.array(x)).otherwise(F.array().cast("array<string>")), F.array_compact(F.array(*(F.when(F.length(x) > k, F.concat(F.substring(x, 1, k), F.lit("*"))) for k in STEMS)))
     )
-    # In toxic rows, with the neighbours: near copies of one text count as one context.
-    near = lambda k: F.coalesce(F.get("w", F.col("i") + k), F.lit(""))
-    seen = cut.where("y = 1").select("w", F.posexplode("w").alias("i", "word")).select(F.explode(marks(F.col("word"))).alias("mark"), F.xxhash64(near(-1), near(1)).alias("context"))
-    contexts = seen.groupBy("mark").agg(F.approx_count_distinct("context").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
-    each = cut.select("y", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("w"), marks)))).alias("mark"))
-    counts = each.groupBy("mark").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    each = lambda rows: rows.select(F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("w"), marks)))).alias("mark"))
+    # Only what stands in enough toxic rows is looked for in the others.
+    often = written(each(cut.where("y = 1")).groupBy("mark").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= LEAST_ROWS), "toxic-marks")
+    others = each(cut.where("y = 0")).join(often.select("mark"), "mark").groupBy("mark").agg(F.count(F.lit(1)).alias("b"))
+    counts = often.join(others, "mark", "left").select("mark", "a", F.coalesce("b", F.lit(0)).alias("b"))
     odds = F.log(((F.col("a") + 0.5) / n1) / ((F.col("b") + 0.5) / n0))
-    good = counts.where(F.col("a") >= LEAST_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).join(contexts, "mark")
-    top = good.orderBy(F.desc("odds"), F.desc("a"), "mark").limit(LEXICON).collect()
+    odd = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc("odds"), F.desc("a"), "mark").limit(4 * LEXICON)
+    odd = written(odd, "toxic-odds")
+    # Their neighbours in toxic rows: near copies of one text count as one context.  Rows carry three words, not the text.
+    near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    placed = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))
+    seen = cut.where("y = 1").select(F.explode(placed).alias("x")).select(F.explode(marks(F.col("x.word"))).alias("mark"), "x.context")
+    contexts = seen.join(F.broadcast(odd.select("mark")), "mark").groupBy("mark").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    top = odd.join(contexts, "mark").orderBy(F.desc("odds"), F.desc("a"), "mark").limit(LEXICON).collect()
     learned = {r["mark"]: 1 / (1 + math.exp(-(r["odds"] + math.log(n1 / n0)))) for r in top}
     words = dict.fromkeys(INSULTS.split(), 0.6) | {k: v for k, v in learned.items() if not k.endswith("*")}
     stems = {k[:-1]: v for k, v in learned.items() if k.endswith("*")}
@@ -226,8 +234,9 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = Model(words, stems, patterns)
 
         def f(texts):
-            scores = [m.score(t) for t in texts]
-            return [scores, [int(s >= cut) for s in scores], [[p for p, _ in m.matches(t)] if s > 0 else [] for t, s in zip(texts, scores, strict=True)]]
+            found = [m.matches(t) for t in texts]
+            scores = [m.score_of(x) for x in found]
+            return [scores, [int(s >= cut) for s in scores], [[p for p, _ in x] for x in found]]
 
         return f
 
