@@ -215,16 +215,21 @@ def match(a: Node, b: Node, depth: int = DEPTH) -> tuple[int, list[tuple[Node, N
     return 1 + best[m][n], pairs
 
 
-def _plain(n: Node) -> str:
-    out: list[str] = []
-    todo: list = [n]
+def fingerprints(root: Node) -> dict[int, int]:
+    """For each node a hash of its visible words and the elements they stand in, children first; no depth is too great."""
+    done: dict[int, int] = {}
+    order, todo = [], [root]
     while todo:
-        k = todo.pop()
-        if isinstance(k, str):
-            out.append(k)
-        elif k.tag not in HIDDEN:
-            todo.extend(reversed(k.kids))
-    return " ".join(" ".join(out).split())
+        n = todo.pop()
+        order.append(n)
+        todo.extend(k for k in n.kids if not isinstance(k, str))
+    for n in reversed(order):
+        if n.tag in HIDDEN:
+            done[id(n)] = 0
+            continue
+        parts = tuple(hash(k.strip()) if isinstance(k, str) else done[id(k)] for k in n.kids)
+        done[id(n)] = hash((n.tag, *(x for x in parts if x)))
+    return done
 
 
 def _region(root: Node, varying: dict[int, int]) -> Node:
@@ -270,7 +275,8 @@ def _own(n: Node) -> int:
 def extract(pages: list[str]) -> list[str]:
     """The main text of each page of one block."""
     trees = [parse(p) for p in pages]
-    texts = [_plain(t) for t in trees]
+    marks = [fingerprints(t) for t in trees]
+    texts = [m[id(t)] for m, t in zip(marks, trees, strict=True)]
     out = []
     for i, tree in enumerate(trees):
         # Up to three other pages of another text, the next in the block.
@@ -278,7 +284,7 @@ def extract(pages: list[str]) -> list[str]:
         constant: dict[int, int] = {}
         for k in others:
             for a, b in match(tree, trees[k])[1]:
-                if _plain(a) == _plain(b):
+                if marks[i][id(a)] == marks[k][id(b)]:
                     constant[id(a)] = constant.get(id(a), 0) + 1
         varying: dict[int, int] = {}
         todo: list[tuple[Node, bool]] = [(tree, False)]
