@@ -237,3 +237,52 @@ def test_sinks(spark, tmp_path):
     sinks.by_length(df, (1, 2), f"file://{tmp_path}/len")
     assert spark.read.parquet(f"file://{tmp_path}/len").groupBy("length").count().count() == 2
     assert "| id | v |" in sinks.markdown("t", df.limit(1))
+
+
+def test_locate_brute(spark):
+    from trailmark.operators import selection
+
+    rng = np.random.default_rng(6)
+    tri, pts = rng.random((40, 3, 3)), rng.random((60, 3))
+    t = spark.createDataFrame([(i, *map(float, x.ravel())) for i, x in enumerate(tri)], "t long, " + ", ".join(f"{q}{k} double" for q in "abc" for k in "xyz"))
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(pts)], "p long, x double, y double, z double")
+    got = {r["p"]: r["distance"] for r in selection.locate(p, t, "p", "t", 0.15, 0.2).collect()}
+    grid = [(u, v) for u in np.linspace(0, 1, 60) for v in np.linspace(0, 1, 60) if u + v <= 1]
+    for i, x in enumerate(pts):
+        near = min(np.min([np.linalg.norm(x - (a + u * (b - a) + v * (c - a))) for u, v in grid[::3]]) for a, b, c in tri[:6])
+        exact = min(float(selection._triangle_distance(x[None], a[None], b[None], c[None])[0]) for a, b, c in tri[:6])
+        assert exact <= near + 1e-9 and near - exact < 0.1
+        best = min(float(selection._triangle_distance(x[None], a[None], b[None], c[None])[0]) for a, b, c in tri)
+        assert (i in got) == (best <= 0.15) and (i not in got or got[i] == pytest.approx(best))
+
+
+def test_selection(spark):
+    from trailmark.operators import selection
+
+    df = spark.createDataFrame([(i, ["a"] if i < 50 else ["b"] if i < 53 else [], i) for i in range(100)], "k long, f array<string>, n long")
+    got = [r["k"] for r in selection.balanced_review(df, "k", "f", "n", 20).collect()]
+    assert len(got) == len(set(got)) == 20 and {50, 51, 52} <= set(got)
+    assert selection.balanced_review(df.where("k >= 53"), "k", "f", "n", 20).count() == 20
+    assert selection.balanced_review(df.limit(0), "k", "f", "n", 20).count() == 0
+
+
+def test_validation():
+    from trailmark.functions import validate as v
+
+    assert v.names([" B", "a"], ("a", "b", "c")) == ["a", "b"] and v.truth("Yes") and v.id_list("1, 2 3") == [1, 2, 3] and v.ordered("x", 1, 1) == (1, 1)
+    for bad in (lambda: v.positive("x", True), lambda: v.positive("x", float("nan")), lambda: v.whole("x", -1), lambda: v.names(["a", "a"], ("a",)), lambda: v.ordered("x", 3, 2), lambda: v.truth("maybe")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_rotations(spark):
+    from trailmark.functions import camera, geometry
+
+    rng = np.random.default_rng(8)
+    q = rng.normal(size=(50, 4))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    df = spark.createDataFrame([tuple(map(float, x)) for x in q], "x double, y double, z double, w double")
+    back = np.array([r[0] for r in df.select(camera.quaternion_of_matrix(geometry.rotation_matrix(*map(F.col, "xyzw")))).collect()])
+    assert np.allclose(np.abs((back * q).sum(axis=1)), 1)
+    m = np.array(df.limit(1).select(camera.angle_axis_matrix(F.lit(0.5), F.lit(0.0), F.lit(1.0), F.lit(0.0))).first()[0]).reshape(3, 3)
+    assert np.allclose(m @ m.T, np.eye(3)) and m[0, 0] == pytest.approx(math.cos(0.5))

@@ -99,3 +99,38 @@ def portable(path: Column) -> Column:
 def frame_number(name: Column) -> Column:
     """the number in a frame's file name, else null."""
     return F.when(F.rlike(name, F.lit(r"(?i)^\d+\.(?:jpg|jpeg|png)$")), F.regexp_extract(name, r"^(\d+)", 1).cast("long"))
+
+
+def clause_place(text: Column, clause: Column) -> Column:
+    """F8: struct<s,e> of the only place where a clause stands, whatever its case and white space; null if none or several.
+
+    A clause without words has no place.
+    """
+    body = F.concat(F.lit(r"\Q"), F.regexp_replace(F.trim(clause), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
+    pattern = F.concat(F.lit("(?iu)"), body)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    at = F.regexp_instr(text, pattern) - 1
+    return F.when((F.trim(clause) != "") & (F.size(found) == 1), F.struct(at.alias("s"), (at + F.length(found[0])).alias("e")))
+
+
+def repair_feedback(checks: Column) -> Column:
+    """what failed, as lines, from array<struct<kind,passed,reason>>."""
+    bad = F.filter(checks, lambda c: ~c["passed"])
+    return F.array_join(F.transform(bad, lambda c: F.concat(F.lit("- "), c["kind"], F.lit(": "), F.coalesce(c["reason"], F.lit("failed")))), "\n")
+
+
+def action_id(name: Column) -> Column:
+    """F16: id of an action name or number; anything else fails the job."""
+    n = F.trim(F.lower(name))
+    known = F.when(n.isin("stop", "0"), 0).when(n.isin("forward", "1"), 1).when(n.isin("left", "2"), 2).when(n.isin("right", "3"), 3)
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown action "), name)).cast("int"))
+
+
+def system_prompt(view: Column, horizon: int) -> Column:
+    """instructions for a model that sees one kind of view and answers with actions."""
+    seen = F.when(view == "panorama", "a panorama of all directions").when(view == "front", "the view to the front").otherwise("images")
+    return F.concat(F.lit("You are a robot that follows an instruction. You see "), seen, F.lit(f". Answer with the next {horizon} actions out of forward, left, right and stop."))
+
+
+def user_prompt(instruction: Column, n_images: Column) -> Column:
+    return F.concat(F.repeat(F.lit("<image>"), n_images.cast("int")), F.lit("\nInstruction ("), F.size(tokens(instruction)).cast("string"), F.lit(" words): "), instruction)
