@@ -181,7 +181,11 @@ def test_media(spark, docs, edge, empty):
 def test_chunks_follow_content():
     rng = random.Random(1)
     body = bytes(rng.randrange(256) for _ in range(200_000))
-    cut = lambda p: {p[a:b] for a, b in zip([0, *(e := media.chunk_ends([p])[0])], e, strict=False)}
+
+    def cut(p):
+        ends = media.chunk_ends([p])[0]
+        return {p[a:b] for a, b in zip([0, *ends], ends, strict=False)}
+
     a, b = cut(body), cut(b"shifted" + body)
     assert len(a & b) >= len(a) - 3 and all(len(c) <= media.MOST for c in a)
     slow = 0
