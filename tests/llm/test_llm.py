@@ -156,6 +156,11 @@ def test_html_parts_and_edges(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_page_part_names():
+    yes, no = ("nav", "site-header", "ad", "cookie_notice", "post-comments", "main-menu x"), ("", "entry-header", "lead", "article-footer post", "download", "content main")
+    assert all(map(html.names_chrome, yes)) and not any(map(html.names_chrome, no))
+
+
 def test_simple_tree_matching():
     a, b = html.parse("<div><p>1</p><ul><li>a</li><li>b</li></ul></div>"), html.parse("<div><h1>t</h1><p>2</p><ul><li>a</li></ul></div>")
     size, pairs = html.match(a, b)

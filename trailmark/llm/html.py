@@ -47,21 +47,34 @@ CHROME_WORDS = set(
     "aside cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus share sharing social "
     "related recommended recommendations pagination pager toolbar skip widget".split()
 )
+#: Parts of an article can have these in their names too; they are no chrome next to one of the second set ("entry-header").
+SHARED_WORDS = set("header footer notice promo".split())
+ARTICLE_WORDS = set("article post entry content story section title".split())
 MAIN_TAGS = ("article", "main")
 
 
+def names_chrome(attribute: str) -> bool:
+    """Whether a class or id names a page part that is no article."""
+    for name in attribute.lower().split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        found = words & CHROME_WORDS
+        if found - SHARED_WORDS or found and not words & ARTICLE_WORDS:
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "words", "role", "hidden", "kids", "up")
+    __slots__ = ("tag", "words", "role", "hidden", "named", "kids", "up")
 
-    def __init__(self, tag: str, words=frozenset(), role: str = "", hidden: bool = False, up=None):
-        self.tag, self.words, self.role, self.hidden, self.up = tag, words, role, hidden, up
+    def __init__(self, tag: str, words=frozenset(), role: str = "", hidden: bool = False, named: bool = False, up=None):
+        self.tag, self.words, self.role, self.hidden, self.named, self.up = tag, words, role, hidden, named, up
         self.kids: list[Node | str] = []
 
     def chrome(self) -> bool:
         """No article by tag, class, id or role."""
         if self.tag in HIDDEN or self.hidden or self.role in CHROME_ROLES or self.tag in CHROME_TAGS:
             return True
-        return bool(self.words & CHROME_WORDS) and self.tag not in ("body", "html", "main", "article")
+        return self.named and self.tag not in ("body", "html", "main", "article")
 
     def label(self) -> tuple:
         return self.tag, self.words
@@ -89,9 +102,10 @@ class _Builder(HTMLParser):
             same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(one, (one,))
             if tag == one and (n := self._open(*same, *stop)) is not None and n.tag in same:
                 self.at = n.up
-        words = frozenset(w for w in re.split(r"[^a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower()) if w)
+        marks = f"{a.get('class', '')} {a.get('id', '')}"
+        words = frozenset(w for w in re.split(r"[^a-z]+", marks.lower()) if w)  # numbers differ from page to page
         hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        n = Node(tag, words, a.get("role", "").lower(), hidden, self.at)
+        n = Node(tag, words, a.get("role", "").lower(), hidden, bool(words) and names_chrome(marks), self.at)
         self.at.kids.append(n)
         if tag not in VOID:
             self.at = n
