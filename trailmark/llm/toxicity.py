@@ -35,6 +35,8 @@ LEXICON = 5_000
 LEAST_ROWS, LEAST_CONTEXTS, LEAST_LOG_ODDS = 6, 5, 4.4
 #: Letters of word beginnings that are learned, for words that are longer.
 STEMS = range(4, 9)
+#: Marks of toxic rows that are broadcast at most; short words, so some tens of MB.
+MARKS = 400_000
 CUT = 0.3
 
 # Seed lexicon of the grammar's classes.
@@ -200,7 +202,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     each = lambda rows: rows.select(F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("w"), marks)))).alias("mark"))
     # Only what stands in enough toxic rows is looked for in the others.
     often = written(each(cut.where("y = 1")).groupBy("mark").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= LEAST_ROWS), "toxic-marks")
-    others = each(cut.where("y = 0")).join(often.select("mark"), "mark").groupBy("mark").agg(F.count(F.lit(1)).alias("b"))
+    wanted = often.select("mark")
+    if often.count() <= MARKS:
+        wanted = F.broadcast(wanted)
+    others = each(cut.where("y = 0")).join(wanted, "mark").groupBy("mark").agg(F.count(F.lit(1)).alias("b"))
     counts = often.join(others, "mark", "left").select("mark", "a", F.coalesce("b", F.lit(0)).alias("b"))
     odds = F.log(((F.col("a") + 0.5) / n1) / ((F.col("b") + 0.5) / n0))
     odd = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc("odds"), F.desc("a"), "mark").limit(4 * LEXICON)
