@@ -29,7 +29,7 @@ from .common import map_text
 #: Pieces of up to so many bytes are merged in matrix rows.
 SHORT = 64
 #: Pieces whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 FAR = np.int64(1) << 60
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one Python step works on at once, in characters; larger Arrow batches are cut up.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_500_000
 
 #: A table is broadcast only if it was counted and has at most so many rows of bounded width.
 BROADCAST_ROWS = 100_000

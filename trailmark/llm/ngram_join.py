@@ -70,7 +70,7 @@ class Grams:
         import xxhash
 
         known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > 500_000:
+        if len(known) > 300_000:
             known.clear()
         words, sizes = [], []
         for t in texts:
