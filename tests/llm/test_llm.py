@@ -231,6 +231,17 @@ def test_pii_base_spans(spark, docs, edge, empty):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    rng = random.Random(4)
+    parts = ["0", "00", "000", "010", "1", "00255", "255", "256", "0256", "1000", "99"]
+    odd = [" ".join(".".join(rng.choice(parts) for _ in range(rng.choice((4, 4, 4, 3, 5)))) for _ in range(6)) for _ in range(200)] + ["10.0.0.1", "at 192.168.0.1.", "0.0.0.0", "000.00.0.0", "0.0.0.256"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = pii.find(df, pii.train(df)).select("text", pii.spelled(F.col("pii_base")).alias("b")).collect()
+    assert len(got) == len(odd) and all(r["b"] == brute_pii(r["text"]) for r in got)
+    assert {r["text"]: r["b"] for r in got}["10.0.0.1"] == "ip:0:8"
+    assert [r["text"] for r in pii.redact(df.where("doc_id = 200"), pii.train(df)).collect()] == ["[IP]"]
+
+
 def test_pii_redaction_and_added_spans(spark):
     texts = [f"call me: phone 555-{i:03d}-{1000 + i} or a{i}@b.example.org, order 123-456-{2000 + i}" for i in range(100, 200)]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, pii int")

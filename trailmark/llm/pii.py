@@ -70,7 +70,8 @@ def _digits(t: Column) -> Column:
 
 
 def _octet() -> str:
-    return r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+    # Zeros alone are a part too; else they lead one and are not given back.
+    return r"(?:0++(?![0-9])|0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2}))"
 
 
 _KEEP = {
