@@ -156,6 +156,40 @@ def test_html_parts_and_edges(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def body_text(bodies):
+    return html.extract([f"<html><body>{b}</body></html>" for b in bodies])
+
+
+def test_html_template_without_telling_names():
+    share, licence = "<div class=x1><p>Send this to your friends</p></div>", "<p>All texts under CC BY 4.0</p>"
+    paragraphs = lambda i: "".join(f"<p>Sentence {k} of text {i}.</p>" for k in range(i + 1))
+    got = body_text([f"<article>{share}<h1>Title {i}</h1>Filed here{paragraphs(i)}{licence}</article>" for i in range(4)])
+    assert got == [f"Title {i}\n" + "\n".join(f"Sentence {k} of text {i}." for k in range(i + 1)) for i in range(4)]
+    # Deeper than eight levels; and what only two of the pages share stays.
+    deep = body_text(["<div>" * 20 + f"<p>Text {i} {'ab'[i % 2] * 9}</p>{'<p>A passage</p>' if i < 2 else ''}{licence}" + "</div>" * 20 for i in range(4)])
+    assert deep == [f"Text {i} {'ab'[i % 2] * 9}" + ("\nA passage" if i < 2 else "") for i in range(4)]
+    # Near copies of one text are no template.
+    long = "".join(f"<p>Paragraph {k} of a text that was copied</p>" for k in range(30))
+    assert all(t.count("copied") == 30 for t in body_text([f"<article>{long}<p>{i}</p></article>" for i in range(5)]))
+
+
+def test_html_whole_article():
+    two = body_text([f"<div class=top><h1>Title {i}</h1><article><p>First part {i}</p></article><article><p>The second part {i}</p></article></div>" for i in range(4)])
+    assert two == [f"Title {i}\nFirst part {i}\nThe second part {i}" for i in range(4)]
+    main = body_text([f"<main><p>Body text number {i}</p><article><p>quote {i}</p></article><p>More {i}</p></main>" for i in range(4)])
+    assert main == [f"Body text number {i}\nquote {i}\nMore {i}" for i in range(4)]
+    none = body_text([f"<h1>Title {i}</h1><p>lead {i}</p><div><p>{'long body ' * 20}{i}</p></div>" for i in range(4)])
+    assert none == [f"Title {i}\nlead {i}\n{'long body ' * 20}{i}" for i in range(4)]
+
+
+def test_html_layout_names():
+    for name in ("has-sidebar", "content-with-sidebar", "no-sidebar", "page social"):
+        for tag in ("article", "div"):
+            got = body_text([f"<div class='{name}'><{tag}><p>The text number {i}</p></{tag}><div class=sidebar>s{i}</div></div>" for i in range(4)])
+            assert got == [f"The text number {i}" for i in range(4)]
+    assert body_text(["<div class='page social'><article><p>Alone</p></article></div>"]) == ["Alone"]
+
+
 def test_page_part_names():
     yes, no = ("nav", "site-header", "ad", "cookie_notice", "post-comments", "main-menu x"), ("", "entry-header", "lead", "article-footer post", "download", "content main")
     assert all(map(html.names_chrome, yes)) and not any(map(html.names_chrome, no))

@@ -1,14 +1,16 @@
 """Main text of HTML pages by wrapper induction.
 
-Pages of one host are dealt into blocks of bounded size.  In a block each page's DOM tree is aligned with that of a
-reference page by simple tree matching (the largest order-preserving mapping of equally labelled nodes).  A node whose text is the same in
-all aligned pages is template; one whose text varies is a slot.  The slot that holds most varying text, outside regions that
-are no article by tag or class, is the wrapper's content region; a page's main text is the text of its region, less such
-regions inside it.
-
-Pages with equal text would make everything template, so a page is only aligned with pages of another text; a page with no
-other to align with counts as all slots.  The matching goes down to ``DEPTH`` levels and compares element children only,
-so its cost is bounded by the product of the children's numbers, of which runs of equal siblings (paragraphs, list items) count as one.
+Pages of one host are dealt into blocks of bounded size.  In a block each page's DOM tree is aligned with those of all other
+pages: equal subtrees first, the children between them by simple tree matching (the largest order-preserving mapping of equally labelled
+nodes), to full depth.  A node or a run of text between block edges that is the same in the aligned pages (``AGREE``
+of those that have its parent) is template and dropped wherever it stands; what varies is a slot.  The region is the lowest node that
+covers all article or main elements and the titles beside them, or else the whole page; a page's main text is what varies
+in its region, less parts that are no article by tag, role, class or id.  Such a name does not discard a node that holds most of the
+page's varying text, or its only article.
+
+Pages with (nearly) equal text would make everything template, so a page is only aligned with pages that differ in ``COPY`` of its text;
+a page with no other to align with counts as all slots.  Sizes of mappings are kept by the shapes of subtrees, which pages of a host share;
+runs of equal siblings (paragraphs, list items) count as one.
 
 Defined results: null or empty html gives an empty text; broken markup (unclosed elements, stray end tags, html cut short) is repaired
 as browsers do for blocks and inline elements; a null url is a host of its own; repeated rows repeat; extra columns are
@@ -18,6 +20,7 @@ ignored; nothing is capped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -29,8 +32,12 @@ from .url_filter import host_and_path
 
 #: Pages of a block.
 BLOCK = 24
-#: Levels that are aligned.
-DEPTH = 8
+#: A node is template if so large a share of the aligned pages has an equal one.
+AGREE = 0.9
+#: ... and so many of them have: what two pages alone share can be a quotation.
+SUPPORT = 2
+#: Pages that differ in a smaller share of the text are copies of each other.
+COPY = 0.25
 
 # Names of HTML elements and of usual page parts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,20 +71,27 @@ def names_chrome(attribute: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "words", "role", "hidden", "named", "kids", "up")
+    __slots__ = ("tag", "words", "role", "hidden", "named", "kids", "up", "solid", "parts", "units", "items", "mark", "shape", "chars", "clear", "met", "whole", "same", "opened", "fixed", "mass")
 
     def __init__(self, tag: str, words=frozenset(), role: str = "", hidden: bool = False, named: bool = False, up=None):
         self.tag, self.words, self.role, self.hidden, self.named, self.up = tag, words, role, hidden, named, up
         self.kids: list[Node | str] = []
+        self.opened, self.fixed = False, frozenset()
 
     def chrome(self) -> bool:
         """No article by tag, class, id or role."""
+        if self.opened:
+            return False
         if self.tag in HIDDEN or self.hidden or self.role in CHROME_ROLES or self.tag in CHROME_TAGS:
             return True
         return self.named and self.tag not in ("body", "html", "main", "article")
 
+    def unseen(self) -> bool:
+        return self.tag in HIDDEN or self.hidden
+
     def label(self) -> tuple:
-        return self.tag, self.words
+        # The classes of the outermost elements tell pages apart, not templates.
+        return self.tag, frozenset() if self.tag in ("html", "body", "main", "article") else self.words
 
 
 class _Builder(HTMLParser):
@@ -142,173 +156,345 @@ def parse(html: str) -> Node:
     return b.root
 
 
-def _pieces(n: Node, out: list, top: bool = True) -> None:
-    """Texts and None at block edges, of what is no chrome."""
-    if not top and n.chrome():
-        out.append(None)
-        return
-    edge = n.tag in BLOCKS
-    if edge:
-        out.append(None)
-    # A plain loop over children; depth is bounded by the stack below.
-    for k in n.kids:
-        if isinstance(k, str):
-            out.append(k)
-        else:
-            _pieces(k, out, False)
-    if edge:
-        out.append(None)
-
-
 def text_of(n: Node) -> str:
-    out: list = []
-    _pieces(n, out)
-    lines, now = [], []
-    for x in [*out, None]:
-        if x is None:
-            if now and (line := " ".join("".join(now).split())):
-                lines.append(line)
+    """The text outside chrome, less lines of nothing but template."""
+    parts, lines, now, keep = [], [], [], False
+    todo: list = [(n, True, False)]
+    while todo:
+        x, top, fixed = todo.pop()
+        if isinstance(x, str):
+            now.append(x)
+            keep = keep or not fixed and bool(x.strip())
+        elif x is None or not top and x.chrome() or x.tag == "br":
+            lines.append("".join(now))
             now = []
+            if x is None or x.tag != "br":
+                if keep:
+                    parts.extend(lines)
+                lines, keep = [], False
         else:
-            now.append(x)
-    return "\n".join(lines)
-
+            edge = [(None, False, False)] if x.tag in BLOCKS else []
+            own = [(k, False, fixed or i in x.fixed) for i, k in enumerate(x.kids)]
+            todo += [*edge, *reversed(own), *edge]
+    if keep:
+        parts.extend([*lines, "".join(now)])
+    return "\n".join(line for x in parts if (line := " ".join(x.split())))
 
-def _elements(n: Node) -> list[Node]:
-    return [k for k in n.kids if not isinstance(k, str) and k.tag not in HIDDEN]
 
+class Shapes:
+    """Numbers for the shapes of subtrees (labels alone) and the sizes of the largest mappings between them."""
 
-def _runs(n: Node) -> list[list[Node]]:
-    """Element children, equally labelled neighbours together."""
-    out: list[list[Node]] = []
-    for k in _elements(n):
-        if out and out[-1][0].label() == k.label():
-            out[-1].append(k)
-        else:
-            out.append([k])
-    return out
-
-
-def match(a: Node, b: Node, depth: int = DEPTH) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: size of the largest mapping of the trees and its pairs of nodes."""
-    if a.label() != b.label():
-        return 0, []
-    pairs = [(a, b)]
-    if depth == 0:
-        return 1, pairs
-    left, right = _runs(a), _runs(b)
-    m, n = len(left), len(right)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(m):
-        for j in range(n):
-            if left[i][0].label() == right[j][0].label():
-                # Of two runs the members pair off in order.
-                size, got = 0, []
-                for x, y in zip(left[i], right[j], strict=False):
-                    k, p = match(x, y, depth - 1)
-                    size += k
-                    got += p
-                inner[i, j] = size, got
-                size += best[i][j]
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.labels, self.kids, self.counts = [], [], []
+        self.best: dict[tuple[int, int], int] = {}
+        self.between: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def number(self, label: tuple, kids: tuple[int, ...]) -> int:
+        k = self.ids.setdefault((label, kids), len(self.labels))
+        if k == len(self.labels):
+            self.labels.append(label)
+            self.kids.append(kids)
+            self.counts.append(1 + sum(self.counts[x] for x in kids))
+        return k
+
+    def runs(self, kids) -> list[range]:
+        """Equally labelled neighbours together."""
+        out: list[range] = []
+        for i, k in enumerate(kids):
+            if out and self.labels[kids[out[-1][0]]] == self.labels[k]:
+                out[-1] = range(out[-1].start, i + 1)
             else:
+                out.append(range(i, i + 1))
+        return out
+
+    def size(self, a: int, b: int) -> int:
+        """Size of the largest mapping of two shapes."""
+        if a == b:
+            return self.counts[a]
+        if self.labels[a] != self.labels[b]:
+            return 0
+        todo = [(a, b)]
+        while todo:
+            at = todo[-1]
+            if at not in self.best:
+                x, y = self.kids[at[0]], self.kids[at[1]]
+                k, z = self._ends(x, y)
+                x, y = x[k : len(x) - z], y[k : len(y) - z]
+                right = self.runs(y)
+                runs = [(r, t) for r in self.runs(x) for t in right if self.labels[x[r[0]]] == self.labels[y[t[0]]]]
+                missing = {(x[i], y[j]) for r, t in runs for i, j in zip(r, t, strict=False) if x[i] != y[j] and (x[i], y[j]) not in self.best}
+                if missing:
+                    todo.extend(missing)
+                    continue
+                self.best[at] = 1 + self.aligned(self.kids[at[0]], self.kids[at[1]])[0]
+            todo.pop()
+        return self.best[a, b]
+
+    def _ends(self, x, y) -> tuple[int, int]:
+        """How many equal shapes stand at both ends; they can always meet, as no other partner gives more."""
+        a, n = 0, min(len(x), len(y))
+        while a < n and x[a] == y[a]:
+            a += 1
+        z = 0
+        while z < n - a and x[-1 - z] == y[-1 - z]:
+            z += 1
+        return a, z
+
+    def aligned(self, x, y) -> tuple[int, list[tuple[int, int]]]:
+        """Simple tree matching of two lists of children: the size and the places that meet."""
+        a, z = self._ends(x, y)
+        ends = [(i, i) for i in range(a)], [(len(x) - i, len(y) - i) for i in range(z, 0, -1)]
+        size, pairs = self._tabled(x[a : len(x) - z], y[a : len(y) - z])
+        return size + sum(self.counts[x[i]] for side in ends for i, _ in side), [*ends[0], *((i + a, j + a) for i, j in pairs), *ends[1]]
+
+    def _tabled(self, x, y) -> tuple[int, list[tuple[int, int]]]:
+        if not x or not y:
+            return 0, []
+        left, right = self.runs(x), self.runs(y)
+        m, n = len(left), len(right)
+        best = [[0] * (n + 1) for _ in range(m + 1)]
+        inner: dict[tuple[int, int], int] = {}
+        for i in range(m):
+            for j in range(n):
                 size = 0
-            best[i + 1][j + 1] = max(size, best[i][j + 1], best[i + 1][j])
-    i, j = m, n
-    chosen = []
-    while i and j:
-        if (i - 1, j - 1) in inner and best[i][j] == best[i - 1][j - 1] + inner[i - 1, j - 1][0]:
-            chosen.append(inner[i - 1, j - 1][1])
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    for got in reversed(chosen):
-        pairs += got
-    return 1 + best[m][n], pairs
+                if self.labels[x[left[i][0]]] == self.labels[y[right[j][0]]]:
+                    # Of two runs the members pair off in order.
+                    inner[i, j] = sum(self.size(x[p], y[q]) for p, q in zip(left[i], right[j], strict=False))
+                    size = inner[i, j] + best[i][j]
+                best[i + 1][j + 1] = max(size, best[i][j + 1], best[i + 1][j])
+        i, j, chosen = m, n, []
+        while i and j:
+            if (i - 1, j - 1) in inner and best[i][j] == best[i - 1][j - 1] + inner[i - 1, j - 1]:
+                i, j = i - 1, j - 1
+                chosen.append((left[i], right[j]))
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return best[m][n], [pair for r, t in reversed(chosen) for pair in zip(r, t, strict=False)]
 
 
-def fingerprints(root: Node) -> dict[int, int]:
-    """For each node a hash of its visible words and the elements they stand in, children first; no depth is too great."""
-    done: dict[int, int] = {}
+def prepare(root: Node, shapes: Shapes) -> list[Node]:
+    """Sets the parts (child nodes that stand for themselves), the texts between them, marks and shapes; returns all nodes, parents first."""
     order, todo = [], [root]
     while todo:
         n = todo.pop()
         order.append(n)
-        todo.extend(k for k in n.kids if not isinstance(k, str))
+        if not n.unseen():
+            todo.extend(reversed([k for k in n.kids if not isinstance(k, str)]))
+    flat: dict[int, str] = {}
     for n in reversed(order):
-        if n.tag in HIDDEN:
-            done[id(n)] = 0
+        n.parts, n.units, n.items = [], [], []
+        n.chars = n.clear = n.met = n.whole = n.mass = 0
+        n.solid = False
+        if n.unseen():
+            flat[id(n)] = ""
+            continue
+        inside = any(not isinstance(k, str) and k.solid for k in n.kids)
+        n.solid = inside or n.up is None or n.tag in BLOCKS and n.tag != "br" or n.chrome()
+        if not n.solid:
+            flat[id(n)] = " " if n.tag == "br" else "".join(k if isinstance(k, str) else flat[id(k)] for k in n.kids)
+            continue
+        said, now, held = [n.tag], [], []
+        for i, k in enumerate([*n.kids, None]):
+            if k is None or not isinstance(k, str) and k.solid:
+                if text := " ".join("".join(now).split()):
+                    n.units.append(text)
+                    n.items.append(held)
+                    said.append(text)
+                now, held = [], []
+                if k is not None:
+                    n.parts.append(k)
+                    if k.chars:
+                        said.append(k.mark)
+            else:
+                now.append(k if isinstance(k, str) else flat[id(k)])
+                held.append(i)
+        own = sum(map(len, n.units))
+        n.chars = own + sum(k.chars for k in n.parts)
+        n.clear = 0 if n.chrome() else own + sum(k.clear for k in n.parts)
+        n.mark = hash(tuple(said)) if n.chars else 0
+        n.same = [0] * len(n.units)
+        n.shape = shapes.number(n.label(), tuple(k.shape for k in n.parts))
+    return order
+
+
+def _anchors(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+    """The longest chain of equal children in order; of repeated ones the first meets the first."""
+    where: dict[tuple, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        if b[j].chars:
+            where.setdefault((b[j].mark, b[j].label()), []).append(j)
+    ends: list[int] = []
+    chain: list[tuple[int, int, object]] = []
+    for i, x in enumerate(a):
+        if x.chars and (free := where.get((x.mark, x.label()))):
+            j = free.pop()
+            k = bisect_left(ends, j)
+            link = (i, j, chain[k - 1] if k else None)
+            ends[k : k + 1], chain[k : k + 1] = [j], [link]
+    out, at = [], chain[-1] if chain else None
+    while at:
+        out.append(at[:2])
+        at = at[2]
+    return out[::-1]
+
+
+def children(a: Node, b: Node, shapes: Shapes) -> tuple[list[tuple[Node, Node]], list[Node]]:
+    """Pairs of children that meet but differ, and the children of ``a`` that are equal in ``b``."""
+    x, y = a.parts, b.parts
+    if not x or not y:
+        return [], []
+    equal = _anchors(x, y)
+    if not equal:
+        if (a.shape, b.shape) not in shapes.between:
+            shapes.between[a.shape, b.shape] = shapes.aligned(shapes.kids[a.shape], shapes.kids[b.shape])[1]
+        return [(x[i], y[j]) for i, j in shapes.between[a.shape, b.shape]], []
+    met, i, j = [], 0, 0
+    for p, q in [*equal, (len(x), len(y))]:
+        if i < p and j < q:
+            met += [(x[i + s], y[j + t]) for s, t in shapes.aligned([k.shape for k in x[i:p]], [k.shape for k in y[j:q]])[1]]
+        i, j = p + 1, q + 1
+    return met, [x[i] for i, _ in equal]
+
+
+def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: size of the largest mapping of the trees and its pairs of nodes, parents first."""
+    shapes = Shapes()
+    prepare(a, shapes)
+    prepare(b, shapes)
+    pairs, todo = [], [(a, b)] if a.label() == b.label() else []
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        got = shapes.aligned([k.shape for k in x.parts], [k.shape for k in y.parts])[1]
+        todo.extend((x.parts[i], y.parts[j]) for i, j in reversed(got))
+    return shapes.size(a.shape, b.shape), pairs
+
+
+def _compare(a: Node, b: Node, shapes: Shapes) -> None:
+    """Counts in the nodes of ``a`` what is equal in ``b``; nothing if the pages are copies."""
+    met, equal, todo = [], [], [(a, b, False)]
+    all_off = clear_off = 0
+    while todo:
+        x, y, inside = todo.pop()
+        inside = inside or x.chrome()
+        met.append((x, y))
+        off = sum(len(u) for u in x.units if u not in y.units)
+        all_off += off
+        pairs, same = children(x, y, shapes)
+        equal += same
+        alone = {id(k) for k in x.parts} - {id(k) for k in same} if x.parts else ()
+        for p, q in pairs:
+            alone.discard(id(p))
+            todo.append((p, q, inside))
+        if not inside:
+            clear_off += off
+        if alone:
+            for k in x.parts:
+                if id(k) in alone:
+                    all_off += k.chars
+                    clear_off += 0 if inside else k.clear
+    if all_off < COPY * a.chars and clear_off <= COPY * a.clear:
+        return
+    for x, y in met:
+        x.met += 1
+        for i, u in enumerate(x.units):
+            if u in y.units:
+                x.same[i] += 1
+    for x in equal:
+        x.whole += 1
+
+
+def _settle(order: list[Node]) -> None:
+    """From the counts: which children are template (``fixed``) and how many characters vary in each node (``mass``)."""
+    constant = lambda equal, pages: equal >= SUPPORT and equal >= AGREE * pages
+    carried = {id(order[0]): (0, order[0].met, False)}
+    for n in order:
+        n.fixed, n.mass = set(), 0
+        if not n.solid:
             continue
-        parts = tuple(hash(k.strip()) if isinstance(k, str) else done[id(k)] for k in n.kids)
-        done[id(n)] = hash((n.tag, *(x for x in parts if x)))
-    return done
+        # Pages in which this node is equal, and pages that have its parent.
+        equal, above, fixed = carried[id(n)]
+        for text, held, k in zip(n.units, n.items, n.same, strict=True):
+            if fixed or constant(k + equal, above):
+                n.fixed.update(held)
+            else:
+                n.mass += len(text)
+        place = {id(k): i for i, k in enumerate(n.kids)} if n.parts else {}
+        for k in n.parts:
+            still = fixed or bool(k.chars) and constant(k.whole + equal, n.met + equal)
+            carried[id(k)] = equal + k.whole, n.met + equal, still
+            if still:
+                n.fixed.add(place[id(k)])
+    for n in reversed(order):
+        if n.solid and n.up is not None:
+            n.up.mass += n.mass
 
 
-def _region(root: Node, varying: dict[int, int]) -> Node:
-    """The content region: the article element with the most varying text, or else the deepest node with most of it."""
+def _is_main(n: Node) -> bool:
+    return n.tag in MAIN_TAGS or n.role in ("main", "article")
 
-    def mass(n: Node) -> int:
-        """Varying characters outside chrome."""
-        total, todo = 0, [n]
-        while todo:
-            k = todo.pop()
-            if k is not n and k.chrome():
-                continue
-            total += varying.get(id(k), 0)
-            todo.extend(x for x in k.kids if not isinstance(x, str))
-        return total
-
-    named, todo = [], [root]
+
+def _chain(n: Node) -> list[Node]:
+    out = []
+    while n is not None:
+        out.append(n)
+        n = n.up
+    return out
+
+
+def _open(order: list[Node]) -> None:
+    """Names are only a help: they do not discard most of what varies, nor the only article."""
+    may = lambda n: not n.unseen() and (n.named or n.role in CHROME_ROLES or n.tag == "form") and n.tag not in CHROME_TAGS - {"form"}
+    for n in order:
+        if n.solid and may(n) and n.chrome() and 2 * n.mass > order[0].mass:
+            n.opened = True
+    mains = [n for n in order if n.solid and _is_main(n) and n.mass]
+    if all(any(k.chrome() for k in _chain(n)) for n in mains):
+        for n in mains:
+            if all(may(k) for k in _chain(n) if k.chrome()):
+                for k in _chain(n):
+                    k.opened = k.opened or k.chrome()
+
+
+def _region(order: list[Node]) -> Node:
+    """The lowest node that covers all articles and the titles beside them; without an article the whole page."""
+    found, titles, todo = [], [], [order[0]]
     while todo:
         k = todo.pop()
-        if k.chrome():
+        if not k.solid or k.chrome() or not k.mass:
             continue
-        if k.tag in MAIN_TAGS or k.role in ("main", "article"):
-            named.append(k)
-        todo.extend(reversed([x for x in k.kids if not isinstance(x, str)]))
-    if named:
-        # An article inside main wins over main; of several the one with the most varying text, the first of equals.
-        articles = [k for k in named if k.tag == "article" or k.role == "article"] or named
-        return max(articles, key=mass)
-    at, whole = root, mass(root)
-    while whole:
-        down = [(mass(k), k) for k in _elements(at) if not k.chrome() and k.tag in ("html", "body", "div", "section", "td", "table", "tbody", "tr", "center")]
-        best = max(down, key=lambda x: x[0], default=(0, None))
-        if best[0] * 10 < whole * 7:
-            break
-        at = best[1]
-    return at
-
-
-def _own(n: Node) -> int:
-    return sum(len(" ".join(k.split())) for k in n.kids if isinstance(k, str))
+        if _is_main(k):
+            found.append(k)
+        elif k.tag == "h1":
+            titles.append(k)
+        else:
+            todo.extend(reversed(k.parts))
+    if not found:
+        return order[0]
+    common = _chain(found[0])
+    for n in found[1:] + titles:
+        above = {id(k) for k in _chain(n)}
+        common = [k for k in common if id(k) in above]
+    return common[0]
 
 
 def extract(pages: list[str]) -> list[str]:
     """The main text of each page of one block."""
-    trees = [parse(p) for p in pages]
-    marks = [fingerprints(t) for t in trees]
-    texts = [m[id(t)] for m, t in zip(marks, trees, strict=True)]
-    out = []
-    for i, tree in enumerate(trees):
-        # Up to three other pages of another text, the next in the block.
-        others = [k for k in [*range(i + 1, len(trees)), *range(i)] if texts[k] != texts[i]][:3]
-        constant: dict[int, int] = {}
-        for k in others:
-            for a, b in match(tree, trees[k])[1]:
-                if marks[i][id(a)] == marks[k][id(b)]:
-                    constant[id(a)] = constant.get(id(a), 0) + 1
-        varying: dict[int, int] = {}
-        todo: list[tuple[Node, bool]] = [(tree, False)]
-        while todo:
-            n, fixed = todo.pop()
-            fixed = fixed or bool(others) and constant.get(id(n), 0) == len(others)
-            varying[id(n)] = 0 if fixed else _own(n)
-            todo.extend((x, fixed) for x in n.kids if not isinstance(x, str))
-        out.append(text_of(_region(tree, varying)))
-    return out
+    shapes = Shapes()
+    done: dict[str, str] = {}
+    orders = [prepare(parse(p), shapes) for p in dict.fromkeys(pages)]
+    for page, order in zip(dict.fromkeys(pages), orders, strict=True):
+        root = order[0]
+        for other in orders:
+            if other[0].mark != root.mark:
+                _compare(root, other[0], shapes)
+        _settle(order)
+        _open(order)
+        done[page] = text_of(_region(order))
+    return [done[p] for p in pages]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = BLOCK) -> DataFrame:
