@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -71,7 +72,7 @@ def names_chrome(attribute: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "words", "role", "hidden", "named", "kids", "up", "solid", "parts", "units", "items", "mark", "shape", "chars", "clear", "met", "whole", "same", "opened", "fixed", "mass")
+    __slots__ = ("tag", "words", "role", "hidden", "named", "kids", "up", "solid", "parts", "units", "items", "mark", "shape", "chars", "clear", "met", "whole", "same", "opened", "fixed", "mass", "shared")
 
     def __init__(self, tag: str, words=frozenset(), role: str = "", hidden: bool = False, named: bool = False, up=None):
         self.tag, self.words, self.role, self.hidden, self.named, self.up = tag, words, role, hidden, named, up
@@ -383,12 +384,14 @@ def _compare(a: Node, b: Node, shapes: Shapes) -> None:
         met.append((x, y))
         off = sum(len(u) for u in x.units if u not in y.units)
         all_off += off
-        pairs, same = children(x, y, shapes)
+        # What has no text of any other page differs as a whole.
+        pairs, same = children(x, y, shapes) if any(k.shared for k in x.parts) else ([], [])
         equal += same
         alone = {id(k) for k in x.parts} - {id(k) for k in same} if x.parts else ()
         for p, q in pairs:
-            alone.discard(id(p))
-            todo.append((p, q, inside))
+            if p.shared:
+                alone.discard(id(p))
+                todo.append((p, q, inside))
         if not inside:
             clear_off += off
         if alone:
@@ -486,6 +489,10 @@ def extract(pages: list[str]) -> list[str]:
     shapes = Shapes()
     done: dict[str, str] = {}
     orders = [prepare(parse(p), shapes) for p in dict.fromkeys(pages)]
+    held = Counter(u for order in orders for u in {u for n in order if n.solid for u in n.units})
+    for order in orders:
+        for n in reversed(order):
+            n.shared = n.solid and (any(held[u] > 1 for u in n.units) or any(k.shared for k in n.parts))
     for page, order in zip(dict.fromkeys(pages), orders, strict=True):
         root = order[0]
         for other in orders:
