@@ -115,6 +115,16 @@ def test_language(spark, edge, empty):
     assert language.accepted_documents(docs).count() > 0.98 * docs.count()
 
 
+def test_language_learns_every_label(spark):
+    rng = random.Random(8)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(30)] for k in range(60)}
+    rows = [(k, " ".join(rng.sample(w, 25))) for i, (k, w) in enumerate(words.items()) for _ in range(3 if i >= 50 else 4)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    learned = language.dictionaries(df)
+    assert set(learned) == set(words)
+    assert language.identify(df, learned).where("lang <> lang_pred").count() == 0
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------------------
 
 

@@ -31,8 +31,8 @@ DICTIONARY_BYTES = 256 * 1024
 SAMPLE_CHARS = 2048
 #: Texts drawn for one language: so many are enough to fill a dictionary unless texts are very short.
 SAMPLE_ROWS = 500
-#: Languages that are learned, those with the most rows first.
-MOST_LANGUAGES = 50
+#: So many languages have dictionaries of full size; with more, all are learned from dictionaries that are smaller in proportion.
+FULL_LANGUAGES = 50
 #: Relative margin below which a text is rejected.
 MARGIN = 0.002
 LEVEL = 3
@@ -56,12 +56,15 @@ def dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     """
     text, lang = F.col(text_col), F.col(lang_col)
     usable = labelled.where(lang.isNotNull() & text.isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang_col).collect()}
     if not counts:
         return {}
+    most = min(DICTIONARY_BYTES, max(1024, DICTIONARY_BYTES * FULL_LANGUAGES // len(counts)))
+    # Rows in the same proportion, so that the driver holds as much as for FULL_LANGUAGES.
+    n_rows = max(4, SAMPLE_ROWS * most // DICTIONARY_BYTES)
     # A hash of the text: rows in whatever order or partition give the same sample.
     draw = F.pmod(F.xxhash64(text), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, math.ceil((1 << 30) * 2 * SAMPLE_ROWS / n)))))
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, math.ceil((1 << 30) * 2 * n_rows / n)))))
     drawn = (
         usable.where(draw < F.coalesce(share[lang], F.lit(0)))
         .groupBy(lang.alias("k"), draw.alias("d"))
@@ -71,14 +74,14 @@ def dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     out = {}
     for k in counts:
         size, parts = 0, []
-        for r in sorted((r for r in drawn if r["k"] == k), key=lambda r: (r["d"], r["t"]))[: 4 * SAMPLE_ROWS]:
+        for r in sorted((r for r in drawn if r["k"] == k), key=lambda r: (r["d"], r["t"]))[: 4 * n_rows]:
             raw = normal_form(r["t"])
             parts.append(raw)
             size += len(raw)
-            if size >= DICTIONARY_BYTES:
+            if size >= most:
                 break
         # The end of a dictionary is the cheapest to refer to; all get the same number of bytes where there are enough.
-        out[k] = b"".join(parts)[-DICTIONARY_BYTES:]
+        out[k] = b"".join(parts)[-most:]
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
