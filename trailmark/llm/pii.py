@@ -2,14 +2,18 @@
 
 Base spans (e-mail, ip, card, phone) follow fixed patterns and always stay.  Looser patterns propose further spans (national
 ids, bank accounts, phone numbers without a plus, names after a title).  Labelers - shape regexes, gazetteers, context words,
-checksums - vote on every proposed span, base spans included; expectation-maximisation over the counts of vote patterns
+checksums - vote on every span, base spans included; expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is; its posteriors train a naive Bayes span classifier on span features, and proposed
 spans that it accepts are added.  DataFrame functions only; what reaches the driver are counts of vote and feature patterns,
 whose number is bounded by the number of labelers and features.
 
+Texts are searched once: :func:`spanned` gives each text's spans with the characters around them, which are written and serve
+training and finding alike.  Places and overlaps come from running sums, minima and maxima over the spans of a text, made in
+chunks of ``CHUNK``, so a text's cost grows with its spans and not with their square.
+
 Defined results: a null or empty text has no spans; spans are in code points with an exclusive end, ordered by start and
-then kind; a proposed span that touches a base span is dropped; equal texts give equal spans; repeated rows repeat; extra columns are
-ignored (:func:`redact` keeps them); with no proposed span in the corpus nothing is added.
+then kind; a proposed span that touches a base span is dropped; equal texts give equal spans; repeated rows repeat; :func:`redact`
+keeps all columns whatever their names; with no proposed span in the corpus nothing is added.
 """
 
 from __future__ import annotations
@@ -19,50 +23,85 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, written
+
 # Kinds in their order.
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("national_id", "account", "local_phone", "name")
 KINDS = BASE + LOOSE
 
 # The base patterns, with possessive loops where giving back cannot help, so that long runs neither recurse nor repeat.
+# A look at the first character comes before what is dearer to test.
 _E = "A-Za-z0-9._%+-"
+_TITLES = "(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)"
 PATTERNS = {
     "email": rf"(?:(?<![{_E}])|\G)[{_E}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # Runs of single-spaced digits that have 12 to 19 of them: the maximal run starts after no digit and ends before none.
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
+    "card": r"(?=[0-9])(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
-    "local_phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?(?![a-z])",
+    "national_id": r"(?=[0-9])(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "account": r"(?=[A-Z][A-Z][0-9])(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
+    "local_phone": r"(?=[(0-9])(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])",
+    "name": rf"(?=[DFHMPS])(?<![A-Za-z]){_TITLES}\.? [A-Z][a-z]{{1,20}}(?: [A-Z][a-z]{{1,20}})?(?![a-z])",
 }
 #: What a text must hold before a pattern is tried.
 HINTS = {"email": "@", "phone": "+"}
 PERSON_WORDS = r"(?i)\b(?:phone|tel|telefon|téléphone|teléfono|call|mobile|fax|ssn|social|passport|iban|account|konto|compte|cuenta|contact|kontakt|name|mail|e-mail|adresse|address|born|patient|customer|client)\b"
 OTHER_WORDS = r"(?i)\b(?:isbn|issn|order|invoice|version|page|seite|figure|table|section|chapter|doi|http|https|part|item|sku|build|score|vol|no|nr)\b[^a-z]*$"
-#: Gazetteers.  Fixed values.
-GIVEN_NAMES = ("Anna", "Carlos", "David", "Elena", "Emma", "Hans", "Jean", "John", "José", "Karl", "Laura", "Lucía", "Maria", "Marie", "Michael", "Paul", "Peter", "Pierre", "Sarah", "Sofia", "Thomas")
-COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
+#: Gazetteers: usual given names, and countries whose bank accounts have the international form.  Fixed values.
+GIVEN_NAMES = tuple(
+    "Alexander Alice Ana Andrea Andreas Anna Anne Antonio Barbara Camille Carlos Carmen Charles Charlotte Chloé Christian Claire Claudia Daniel David Diego Elena Elizabeth Emily Emma Eva Felix Francisco "
+    "François Frank George Hans Hélène Isabel James Jan Javier Jean Jennifer Johannes John Jorge José Juan Julia Julie Karl Katharina Klaus Laura Léa Linda Louis Lucas Lucía Luis Lukas Manuel Marco Maria "
+    "María Marie Mark Martin Mary Matthias Michael Miguel Nicolas Olivier Oliver Patricia Paul Pedro Peter Philippe Pierre Pilar Richard Robert Sabine Sarah Sofia Sophie Stefan Susan Thomas Ursula Ute "
+    "Véronique William Wolfgang".split()
+)
+COUNTRIES = tuple("AD AE AL AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO RS SA SE SI SK SM TN TR UA".split())
+#: Characters before and after a span that labelers and features see.
 BEFORE, AFTER = 40, 20
 ROUNDS = 25
+#: Spans of a text over which running sums are made at once, and characters of a text that are cut out at once.
+CHUNK, CUT = 256, 4096
+
+
+def _before(values: Column, join, first: Column) -> Column:
+    """For each of an array of numbers what ``join`` makes of ``first`` and those before it."""
+    kind = "array<int>"
+
+    def scan(xs: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(start.alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+    starts = scan(F.transform(chunks, lambda xs: F.aggregate(xs, first, lambda a, x: join(a, x))), first)
+    made = F.flatten(F.zip_with(chunks, starts, scan))
+    return F.when(F.size(values) > CHUNK, made).otherwise(scan(values, first))
 
 
 def _found(text: Column, kind: str) -> Column:
-    """array<struct<s,e,t>> of the matches of a pattern: the pieces between matches give their places."""
-    pattern = F.lit(PATTERNS[kind])
+    """array<struct<s,k,e,t,b,a>> of the matches of a pattern: place, kind, text, and what stands before and after.
+
+    The pieces between matches give places and surroundings, so the text itself is not walked again for each match.
+    """
+    pattern, k = F.lit(PATTERNS[kind]), KINDS.index(kind)
     hits, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    empty = F.array().cast("array<struct<s:int,e:int,t:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["p"])
-        e = s + F.length(x["t"])
-        return F.struct(e.alias("at"), F.concat(acc["found"], F.array(F.struct(s.alias("s"), e.alias("e"), x["t"].alias("t")))).alias("found"))
+    def spans(x: Column) -> Column:
+        hits, pieces, nexts = x["hits"], x["pieces"], F.slice(x["pieces"], F.lit(2), F.size(x["hits"]))
+        pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, t: F.struct(p.alias("p"), t.alias("t")))
+        ends = _before(F.transform(pairs, lambda x: F.length(x["p"]) + F.length(x["t"])), lambda a, b: a + b, F.lit(0))
+        placed = F.zip_with(pairs, ends, lambda x, at: F.struct((at + F.length(x["p"])).alias("s"), x["p"].alias("p"), x["t"].alias("t")))
+        last = lambda i: F.when(i > 0, F.get(hits, i - 1)).otherwise("")
+        with_before = F.transform(placed, lambda x, i: F.struct(x["s"].alias("s"), x["t"].alias("t"), F.substring(F.concat(last(i), x["p"]), -BEFORE, BEFORE).alias("b"), F.coalesce(F.get(hits, i + 1), F.lit("")).alias("n")))
+        return F.zip_with(
+            with_before, nexts,
+            lambda x, p: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), (x["s"] + F.length(x["t"])).alias("e"), x["t"].alias("t"), x["b"].alias("b"), F.substring(F.concat(p, x["n"]), 1, AFTER).alias("a")),
+        )
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, t: F.struct(p.alias("p"), t.alias("t")))
-    hint = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.rlike(text, F.lit("(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Sr)\\.? [A-Z]" if kind == "name" else "[0-9]"))
-    return F.when(hint & F.rlike(text, pattern), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(empty)
+    hint = F.contains(text, F.lit(HINTS[kind])) & F.rlike(text, pattern) if kind in HINTS else F.rlike(text, pattern)
+    # A list of one, so that what the pattern finds is found once.
+    found = F.get(F.transform(F.array(F.struct(hits.alias("hits"), pieces.alias("pieces"))), spans), F.lit(0))
+    return F.when(hint, found).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,t:string,b:string,a:string>>"))
 
 
 def _digits(t: Column) -> Column:
@@ -82,35 +121,45 @@ _KEEP = {
 
 
 def _spans(text: Column, kind: str) -> Column:
-    """array<struct<s,k,e,t>> of one kind."""
+    """The matches of one kind that are spans."""
     found = _found(text, kind)
-    if kind in _KEEP:
-        found = F.filter(found, lambda x: _KEEP[kind](x["t"]))
-    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), x["t"].alias("t")))
+    return F.filter(found, lambda x: _KEEP[kind](x["t"])) if kind in _KEEP else found
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``pii_base`` (all base spans in order) and ``pii_loose`` (proposed spans that touch none of them)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("pii_base", F.array_sort(F.concat(*(_spans(text, k) for k in BASE))))
-    loose = F.array_sort(F.concat(*(_spans(text, k) for k in LOOSE)))
-    free = base.withColumn("pii_loose", loose)
-    apart = F.filter("pii_loose", lambda x: ~F.exists("pii_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return free.withColumn("pii_loose", F.when(F.size("pii_loose") > 0, apart).otherwise(F.col("pii_loose")))
+def _apart(base: Column, loose: Column) -> Column:
+    """The spans of ``loose`` that overlap none of ``base``; both in one sweep by start."""
+    low, high = F.lit(-1), F.lit(2147483647)
+    mark = lambda own: lambda x: F.struct(x["s"].alias("s"), F.lit(own).alias("own"), x["e"].alias("e"), x.alias("x"))
+    both = F.array_sort(F.concat(F.transform(base, mark(0)), F.transform(loose, mark(1))))
 
+    def sweep(all_: Column) -> Column:
+        reach = _before(F.transform(all_, lambda y: F.when(y["own"] == 0, y["e"]).otherwise(low)), F.greatest, low)
+        ahead = F.reverse(_before(F.reverse(F.transform(all_, lambda y: F.when(y["own"] == 0, y["s"]).otherwise(high))), F.least, high))
+        free = F.zip_with(F.zip_with(all_, reach, lambda y, r: F.struct(y.alias("y"), r.alias("r"))), ahead, lambda z, n: F.struct(z["y"].alias("y"), ((z["y"]["own"] == 1) & (z["r"] <= z["y"]["s"]) & (n >= z["y"]["e"])).alias("ok")))
+        return F.transform(F.filter(free, lambda z: z["ok"]), lambda z: z["y"]["x"])
 
-# -- labelers and features of one span: columns of (text, x) -------------------------------------------------------------
+    return F.when((F.size(base) > 0) & (F.size(loose) > 0), F.get(F.transform(F.array(both), sweep), F.lit(0))).otherwise(loose)
 
 
-def _context(text: Column, x: Column) -> tuple[Column, Column]:
-    s = x["s"]
-    return F.substring(text, F.greatest(s - BEFORE, F.lit(0)) + 1, F.least(s, F.lit(BEFORE))), F.substring(text, x["e"] + 1, F.lit(AFTER))
+def spanned(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with ``pii_base`` (all base spans in order) and ``pii_loose`` (proposed spans that touch none of them).
 
+    For what is cut from texts to be cut once, write the result before it is used twice.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = [F.array_sort(F.concat(*(_spans(text, k) for k in kinds))) for kinds in (BASE, LOOSE)]
+    # A list of one again: the spans are named once and used three times.
+    pair = F.transform(F.array(F.struct(every[0].alias("base"), every[1].alias("loose"))), lambda x: F.struct(x["base"].alias("base"), _apart(x["base"], x["loose"]).alias("loose")))
+    both = rows.withColumn("pii_pair", F.get(pair, F.lit(0)))
+    return both.select(*rows.columns, F.col("pii_pair.base").alias("pii_base"), F.col("pii_pair.loose").alias("pii_loose"))
 
-def labelers(text: Column, x: Column) -> list[Column]:
+
+# -- labelers and features of one span (a column x) ------------------------------------------------------------------------
+
+
+def labelers(x: Column) -> list[Column]:
     """Votes: 1 personal, -1 not, 0 abstains."""
-    before, _ = _context(text, x)
-    k, t = x["k"], x["t"]
+    before, k, t = x["b"], x["k"], x["t"]
     d = _digits(t)
     of = lambda *kinds: k.isin(*(KINDS.index(n) for n in kinds))
     return [
@@ -128,9 +177,9 @@ def labelers(text: Column, x: Column) -> list[Column]:
     ]
 
 
-def features(text: Column, x: Column) -> list[Column]:
+def features(x: Column) -> list[Column]:
     """What the span classifier sees: kind, digits, the characters around and the context words."""
-    before, after = _context(text, x)
+    before, after = x["b"], x["a"]
     sign = lambda c: F.when(c == "", "-").when(F.rlike(c, F.lit("\\s")), "s").when(F.rlike(c, F.lit("\\p{L}")), "l").when(F.rlike(c, F.lit("[0-9]")), "d").otherwise("p")
     return [
         x["k"].cast("string"),
@@ -195,9 +244,9 @@ class SpanClassifier:
             weights.append({v: math.log((a[v] + 1) / (yes + m)) - math.log((b[v] + 1) / (no + m)) for v in sorted(a)})
         return cls(math.log(yes / no), weights)
 
-    def accepts(self, text: Column, x: Column) -> Column:
+    def accepts(self, x: Column) -> Column:
         z = F.lit(self.bias)
-        for f, w in zip(features(text, x), self.weights, strict=True):
+        for f, w in zip(features(x), self.weights, strict=True):
             part = F.lit(0.0)
             for value, weight in w.items():
                 part = F.when(f == value, weight).otherwise(part)
@@ -205,13 +254,11 @@ class SpanClassifier:
         return z >= 0.0
 
 
-def train(docs: DataFrame, text_col: str = "text") -> SpanClassifier:
-    """Votes, EM and the classifier from all spans of ``docs``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spanned = with_spans(docs.select(text_col), text_col)
-    each = spanned.where("size(pii_base) + size(pii_loose) > 0").select(F.col(text_col), F.explode(F.concat("pii_base", "pii_loose")).alias("x"))
+def train(found: DataFrame) -> SpanClassifier:
+    """Votes, EM and the classifier from all spans of a table that :func:`spanned` gave."""
     x = F.col("x")
-    patterns = each.select(F.array(*labelers(text, x)).alias("votes"), F.array(*features(text, x)).alias("features")).groupBy("votes", "features").count().collect()
+    each = found.select(F.explode(F.concat("pii_base", "pii_loose")).alias("x"))
+    patterns = each.select(F.array(*labelers(x)).alias("votes"), F.array(*features(x)).alias("features")).groupBy("votes", "features").count().collect()
     votes: dict[tuple[int, ...], float] = {}
     for r in patterns:
         votes[tuple(r["votes"])] = votes.get(tuple(r["votes"]), 0) + r["count"]
@@ -219,12 +266,16 @@ def train(docs: DataFrame, text_col: str = "text") -> SpanClassifier:
     return SpanClassifier.train([(tuple(r["features"]), posterior(prior, tables, tuple(r["votes"])), r["count"]) for r in sorted(patterns, key=str)])
 
 
-def find(docs: DataFrame, model: SpanClassifier, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``pii_base`` and ``pii_spans``: arrays of struct<s,k,e,t>, base and all spans in order."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spanned = with_spans(docs, text_col)
-    more = F.filter("pii_loose", lambda x: model.accepts(text, x)) if model.weights else F.filter("pii_loose", lambda x: F.lit(False))
-    return spanned.withColumn("pii_spans", F.when(F.size("pii_loose") > 0, F.array_sort(F.concat("pii_base", more))).otherwise(F.col("pii_base"))).drop("pii_loose")
+def accepted(found: DataFrame, model: SpanClassifier) -> DataFrame:
+    """``found`` with ``pii_spans``, base and accepted spans in order, in place of ``pii_loose``."""
+    more = F.filter("pii_loose", model.accepts) if model.weights else F.filter("pii_loose", lambda x: F.lit(False))
+    return found.withColumn("pii_spans", F.when(F.size("pii_loose") > 0, F.array_sort(F.concat("pii_base", more))).otherwise(F.col("pii_base"))).drop("pii_loose")
+
+
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Rows (kept columns, ``pii_base``, ``pii_spans``: arrays of struct<s,k,e,t,b,a>) for every row of ``docs``, with a model trained on all its spans."""
+    found = written(spanned(docs.select(*keep, text_col), text_col).drop(text_col), "spans")
+    return accepted(found, train(found))
 
 
 def spelled(spans: Column) -> Column:
@@ -233,19 +284,25 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: SpanClassifier, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced by ``[KIND]``; overlapping spans become one mark, that of the first."""
-    names = docs.columns
-    found = find(docs, model, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = written(spanned(packed(docs, text_col)), "spans")
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, spans = F.col("text"), F.col("pii_spans")
+    # The text in cuts, so that a piece of it is taken from the cuts it lies in and not from the text's beginning on.
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CUT).cast("int")), lambda i: F.substring(text, i * CUT + 1, F.lit(CUT)))
+
+    def new(x: Column) -> Column:
+        cuts, ends = x["cuts"], F.transform(x["spans"], lambda y: y["e"])
+
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / CUT).cast("int")
+            return F.substring(F.array_join(F.slice(cuts, first + 1, F.floor(b / CUT).cast("int") - first + 1), ""), a - first * CUT + 1, b - a)
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["s"] >= acc["at"]
-        gap = F.when(apart, F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.get(marks, x["k"]))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+        reached = F.zip_with(x["spans"], _before(ends, F.greatest, F.lit(0)), lambda y, at: F.struct(y["s"].alias("s"), y["k"].alias("k"), at.alias("at")))
+        kept = F.transform(F.filter(reached, lambda y: y["s"] >= y["at"]), lambda y: F.concat(piece(y["at"], y["s"]), F.get(marks, y["k"])))
+        return F.concat(F.array_join(kept, ""), piece(F.array_max(ends), x["n"]))
 
-    done = F.aggregate("pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("pii_spans") > 0, done).otherwise(F.col(text_col))
-    return found.withColumn(text_col, new).select(*names)
+    whole = F.get(F.transform(F.array(F.struct(cuts.alias("cuts"), spans.alias("spans"), F.length(text).alias("n"))), new), F.lit(0))
+    done = accepted(found, train(found)).select("row", F.when(F.size("pii_spans") > 0, whole).otherwise(text).alias("text"))
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
