@@ -1,29 +1,29 @@
 """Language identification by compression.
 
 Per language a raw-content zstandard dictionary is cut from a bounded sample of labelled rows; a text belongs to the
-language whose dictionary compresses it smallest.  What is compressed is the text's distinct words in order, in lower
-case, so that case, marks and repetition do not hide the language.  What the best dictionary saves over the second,
-relative to the size, is the margin; short texts with a narrow one are also compressed at other levels, and margins that
-stay narrow are rejected.
+language whose dictionary compresses it smallest.  What is compressed is the whole text in lower case.  What the best
+dictionary saves over the second, relative to the size, is the margin; short texts with a narrow one are also compressed at
+other levels, and margins that stay narrow are rejected.
 
 The sample: of each language the rows of lowest hash until ``DICTIONARY_BYTES`` of text, each text giving
-words of ``SAMPLE_CHARS`` characters at most (the bound is for the dictionary alone; predictions read whole texts).
+``SAMPLE_CHARS`` characters at most (the bound is for the dictionary alone; predictions read whole texts).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; without any labelled row
-every text is ``und``; rows with a null id are learned from (their remainder is null) and predicted like others; extra
-columns are kept by :func:`identify`; ties go to the language with more rows.
+every text is ``und``; rows with a null id are learned from (their remainder is null) and predicted like others; ties go to
+the language with more rows; :func:`identify` gives the columns it is told to keep, :func:`accepted_documents` all columns,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import map_text
+from .common import held_out, map_text, packed
 
 #: Bytes of the dictionary of one language.
 DICTIONARY_BYTES = 256 * 1024
@@ -35,17 +35,15 @@ SAMPLE_ROWS = 500
 FULL_LANGUAGES = 50
 #: Relative margin below which a text is rejected.
 MARGIN = 0.002
-LEVEL = 3
+#: At 9 the compressor searches well enough to find a dictionary's words also in texts that repeat themselves.
+LEVEL = 9
 #: Levels of the second opinion, and the size of a text and the margin under which it is asked for.
-MORE_LEVELS, SHORT_BYTES, DOUBT = (6, 9, 12), 2048, 0.01
+MORE_LEVELS, SHORT_BYTES, DOUBT = (3, 6, 12), 2048, 0.01
 
-_words = re.compile(r"[^\W\d_]+").findall
 
-
-def normal_form(text: str) -> bytes:
-    """The distinct words of a text in lower case, in the order in which they come first."""
-    found = dict.fromkeys(_words(text.lower()))
-    return f" {' '.join(found)} ".encode("utf-8", "surrogatepass") if found else b""
+def encoded(text: str) -> bytes:
+    """What is compressed: the text in lower case, between blanks so that its first and last word look like the others."""
+    return f" {text.lower()} ".encode("utf-8", "surrogatepass")
 
 
 def dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -75,7 +73,7 @@ def dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     for k in counts:
         size, parts = 0, []
         for r in sorted((r for r in drawn if r["k"] == k), key=lambda r: (r["d"], r["t"]))[: 4 * n_rows]:
-            raw = normal_form(r["t"])
+            raw = encoded(r["t"])
             parts.append(raw)
             size += len(raw)
             if size >= most:
@@ -105,9 +103,9 @@ class Classifier:
 
     def __call__(self, text: str) -> tuple[str, float, float]:
         """(language, score, margin)."""
-        raw = normal_form(text)
-        if not self.langs or not raw or not any(map(str.isalpha, text)):
+        if not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
+        raw = encoded(text)
         sizes = self.sizes(raw, LEVEL)
         margin = _margin(sizes)
         if margin < DOUBT and len(raw) < SHORT_BYTES:
@@ -122,8 +120,8 @@ def _margin(sizes: list[int]) -> float:
     return (second - first) / second
 
 
-def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, keep_text: bool = False) -> DataFrame:
-    """All columns of ``docs`` (the text only if kept) with ``lang_pred`` string, ``lang_score`` double, ``lang_accepted`` boolean."""
+def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns of ``docs`` to keep (all but the text) with ``lang_pred`` string, ``lang_score`` double, ``lang_accepted`` boolean."""
 
     def make():
         judge = Classifier(contents)
@@ -134,19 +132,19 @@ def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text"
 
         return f
 
-    out = pa.schema([("lang_pred", pa.string()), ("lang_score", pa.float64()), ("lang_accepted", pa.bool_())])
-    return map_text(docs, make, "lang_pred string, lang_score double, lang_accepted boolean", out, text_col, keep_text)
+    names = ("lang_pred", "lang_score", "lang_accepted")
+    out = StructType([StructField(n, k) for n, k in zip(names, (StringType(), DoubleType(), BooleanType()), strict=True)])
+    kept = [c for c in docs.columns if c != text_col and c not in names] if keep is None else list(keep)
+    return map_text(docs.select(*kept, text_col), make, out, pa.schema(list(zip(names, (pa.string(), pa.float64(), pa.bool_()), strict=True))), text_col)
 
 
 def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is clear, with the predicted language as theirs; learned from ``docs`` itself."""
-    names = docs.columns
-    seen = identify(docs, dictionaries(docs.where(training_rows(docs, id_col)), text_col, lang_col), text_col, keep_text=True)
-    return seen.where("lang_accepted").withColumn(lang_col, F.col("lang_pred")).select(*names)
+    seen = identify(packed(docs, text_col), dictionaries(docs.where(training_rows(docs, id_col)), text_col, lang_col))
+    kept = seen.where("lang_accepted")
+    return kept.select(*(F.col("lang_pred").alias(c) if c == lang_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
     """True for rows that may be learned from."""
-    from .common import held_out
-
     return ~F.coalesce(held_out(F.col(id_col)), F.lit(False))
