@@ -2,7 +2,7 @@
 
 Each URL is expanded into (host suffix, path prefix) expressions, of the suffix and prefix lengths that rules have; an
 equi-join on a short prefix of the expressions' digests finds candidate rules, the full digest confirms them and the
-longest rule decides (at equal length block before allow).  DataFrame functions only.
+longest rule decides (at equal length block before allow, then the rule that comes last in order).  DataFrame functions only.
 
 Defined results: a null url or one without ``://`` has an empty host and path and gets the default verdict; each row is
 judged by itself, so repeated rows give repeated results; extra columns of any name are ignored; an empty rule table
@@ -65,9 +65,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .withColumn("digest", _digest(F.col("e_host"), F.col("e_path")))
         .withColumn("short", F.substring("digest", 1, SHORT_DIGITS))
     )
-    hits = expressions.join(ready, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
-    rank = F.struct(F.length("r_host") + F.length("r_path"), (F.col("r_verdict") == "block").cast("int"))
-    judged = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best"))
+    # The join's only key is the short digest; whole digests, all of one length, are compared afterwards (an equality
+    # would be made a key of the join as well).
+    hits = expressions.join(ready, F.col("short") == F.col("r_short")).where(F.startswith("digest", "r_digest"))
+    rank = F.struct((F.length("r_host") + F.length("r_path")).alias("size"), (F.col("r_verdict") == "block").cast("int").alias("block"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
+    judged = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))
     return urls.join(judged, ["host", "path"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
@@ -82,7 +84,7 @@ urls as (select row_number() over () as u, page_id,
     translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from hosts),
 fits as (select u, r_host || r_path as rule, r_verdict,
-    row_number() over (partition by u order by length(r_host) + length(r_path) desc, r_verdict desc) as k
+    row_number() over (partition by u order by length(r_host) + length(r_path) desc, r_verdict desc, r_host || r_path desc) as k
   from urls join rules on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path))
 select page_id, host, path, rule, coalesce(r_verdict, '{default}') as verdict
 from urls left join (select * from fits where k = 1) f using (u)"""
