@@ -1,9 +1,9 @@
 """Secret scanning: fixed patterns plus a token-efficiency test.
 
 A random string needs about as many vocabulary tokens as it has few characters: its characters-per-token ratio is low.
-Runs of secret-like characters outside the fixed patterns' spans are taken as ``random`` spans when the ratio is low,
-after known digests (hexadecimal of usual digest lengths), UUIDs, numbers, and identifiers such as paths, dotted or
-dashed words and URLs have been excluded.
+Runs of secret-like characters, or what the fixed patterns' spans leave of them, are taken as ``random`` spans when the
+ratio is low, after known digests (hexadecimal of usual digest lengths), UUIDs, numbers, and identifiers such as paths
+and dashed words have been excluded.
 
 Defined results: a null or empty text has no spans; equal texts give equal spans; spans are in code points with an
 exclusive end, ordered by start and then kind; extra columns are ignored; texts are scanned whole.
@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import map_text
 
@@ -61,30 +62,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], tokens) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of low-ratio runs that touch no span of ``taken``."""
+    """(start, kind, end) of low-ratio runs; of a run that touches spans of ``taken`` the parts beside them."""
     found = []
     taken = sorted(taken)
     at, reach = 0, -1  # spans up to ``at`` start before the run; ``reach`` is their furthest end
     for m in RUN.finditer(text):
         a, b = m.span()
+        while at < len(taken) and taken[at][0] < a:
+            reach = max(reach, taken[at][2])
+            at += 1
+        first, parts = max(a, reach), []
         while at < len(taken) and taken[at][0] < b:
+            parts.append((first, taken[at][0]))
             reach = max(reach, taken[at][2])
+            first = max(first, reach)
             at += 1
-        if reach > a:
-            continue
-        s = m[0]
-        if DIGEST.fullmatch(s) or UUID.fullmatch(s) or _plain(s):
-            continue
-        if len(s) / tokens(s) < RATIO:
-            found.append((a, 3, b))
+        parts.append((first, b))
+        for x, y in parts:
+            if y - x >= LEAST and is_random(text[x:y], tokens):
+                found.append((x, 3, y))
     return found
 
 
+def is_random(s: str, tokens) -> bool:
+    """Few characters to a token, and no digest, UUID or identifier."""
+    return not (DIGEST.fullmatch(s) or UUID.fullmatch(s) or _plain(s)) and len(s) / tokens(s) < RATIO
+
+
 def _plain(s: str) -> bool:
-    """A number, or words and short numbers joined by marks."""
-    if not any(c.isdigit() for c in s) and (s.islower() or s.isupper()):
-        return True
-    return all(not p or p.isdigit() or p.isalpha() and (p[1:].islower() or p.isupper()) or re.fullmatch(r"[A-Za-z]{2,}[0-9]{1,4}", p) for p in re.split(r"[_/+=-]", s))
+    """An identifier: numbers, and words and words with a short number, two or more of them joined by marks; or a number alone."""
+    parts = [p for p in re.split(r"[_/+=-]", s) if p]
+    if len(parts) < 2:
+        return all(map(str.isdigit, parts))
+    return all(p.isdigit() or p.isalpha() and (p[1:].islower() or p.isupper() or len(p) == 1) or re.fullmatch(r"[A-Za-z]{2,}[0-9]{1,4}", p) for p in parts)
 
 
 def secret_scan(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,5 +115,6 @@ def secret_scan(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
 
         return f
 
-    fields = pa.schema([(n, pa.int64()) for n in ("n_assign", "n_access", "n_hex", "n_random")] + [("base_sha256", pa.string()), ("spans", pa.string())])
-    return map_text(docs.select(id_col, text_col), make, "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string", fields, text_col)
+    counts, says = ("n_assign", "n_access", "n_hex", "n_random"), ("base_sha256", "spans")
+    out = StructType([StructField(n, LongType()) for n in counts] + [StructField(n, StringType()) for n in says])
+    return map_text(docs.select(id_col, text_col), make, out, pa.schema([(n, pa.int64()) for n in counts] + [(n, pa.string()) for n in says]), text_col)
