@@ -3,11 +3,16 @@
 Write: a payload is cut where a rolling gear hash has its high bits zero, so equal passages give equal chunks wherever
 they stand.  A chunk's name is its SHA-256; the store keeps each chunk once (zstandard-compressed with a dictionary that is drawn
 from a bounded sample of texts by their hash and belongs to the store; bucketed by digest),
-and a recipe lists a payload's chunks in order.  Read: recipes join the store on the digest, chunks are laid in order and
-the payload is checked against its own digest.
+and a recipe holds a payload's manifest: digest and 32-bit little-endian length of each chunk, in order.  Read: the manifests'
+entries join the store on the digest, chunks are laid in order, each is checked against its digest and length and the payload
+against its own digest.
 
-A payload is the UTF-8 text plus zero bytes up to a positive multiple of 64.  Its stored form ("media") is the manifest
-(digest and 32-bit little-endian length of each chunk, in order) followed by the compressed chunks in order.
+A payload is the UTF-8 text plus zero bytes up to a positive multiple of 64.  Its stored form ("media") is what is kept of it:
+the manifest as the recipe has it, followed by the stored (compressed) chunks in order; its size and digest are taken from
+the bytes read back.
+
+A chunk that very many payloads hold is a hot key of the join: it is repeated for every so many of them (``HOT_ROWS``), and a
+payload that very many rows have is described once and handed to the rows by :func:`hot_join`.
 
 Defined results: a null or empty text has 0 bytes and a payload of 64 zeros; equal texts share one recipe; repeated rows
 give repeated rows; extra columns are ignored; an empty table gives an empty table; a payload that does not come back as
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cleaning, shared_folder, written
+from .common import BROADCAST_ROWS, HOT_ROWS, blocks, cleaning, give_back, hot_join, shared_folder, written
 
 #: Bytes of the shortest and longest chunk, and high bits of the hash that are zero at a cut (8 KiB on average).
 LEAST, MOST, BITS = 2048, 65536, 13
@@ -34,11 +39,11 @@ UNIT = 64
 #: Level of the stored chunks, which are moved twice and kept: small ones are worth the time.
 LEVEL = 9
 #: Bytes of the raw-content dictionary that chunks are compressed with, and the texts (and bytes of each) that it is drawn from.
-DICTIONARY_BYTES, DICTIONARY_TEXTS, DICTIONARY_PART = 256 * 1024, 600, 1024
+DICTIONARY_BYTES, DICTIONARY_TEXTS, DICTIONARY_PART = 1024 * 1024, 600, 2048
 #: Bytes of a payload's digest that recipes go by; the whole digest is checked on reading.
 KEY = 16
-#: Output rows of the chunk pass are handed on in batches of about so many bytes.
-BATCH_BYTES = 8_000_000
+#: Bytes of a manifest's entry: a digest and a length.
+ENTRY = 36
 
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)], np.uint32)
 
@@ -107,21 +112,26 @@ def _zstd(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_dict_id=False).compress, zstandard.ZstdDecompressor(dict_data=d).decompress
 
 
+def manifest_of(digests: list[bytes], sizes: list[int]) -> bytes:
+    return b"".join(d + struct.pack("<I", n) for d, n in zip(digests, sizes, strict=True))
+
+
 def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_bytes, payload_bytes, payload binary: KEY bytes of its digest, chunks array<binary>: digests in order)."""
+    """Rows (id, n_bytes, payload_bytes, payload binary: KEY bytes of its digest, manifest binary: ENTRY bytes for each chunk)."""
 
     def run(batches):
         sha = lambda b: hashlib.sha256(b).digest()
-        for block in blocks(batches, text_col):
-            rows = [(n, len(p), sha(p)[:KEY], [sha(c) for c in chunks]) for n, p, chunks in _cut(block, text_col)]
-            n, size, name, chunks = zip(*rows, strict=True)
+        for block in blocks(batches, "text"):
+            rows = [(n, len(p), sha(p)[:KEY], manifest_of([sha(c) for c in chunks], list(map(len, chunks)))) for n, p, chunks in _cut(block, "text")]
+            n, size, name, manifest = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [block.column(id_col), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))],
-                names=[id_col, "n_bytes", "payload_bytes", "payload", "chunks"],
+                [block.column("id"), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(manifest, pa.binary())],
+                names=["id", "n_bytes", "payload_bytes", "payload", "manifest"],
             )
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload binary, chunks array<binary>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload binary, manifest binary")
 
 
 def chunks_of(docs: DataFrame, dictionary: bytes, text_col: str = "text") -> DataFrame:
@@ -163,35 +173,57 @@ def store_chunks(docs: DataFrame, dictionary: bytes, text_col: str = "text", exi
     return spark.table(name)
 
 
+def _laid(recipes: DataFrame, store: DataFrame) -> DataFrame:
+    """Rows (payload, seq, entry, blob) of each chunk of each different payload, in order within a payload."""
+    wanted = recipes.select("payload", "manifest").dropDuplicates(["payload"])
+    at = F.sequence(F.lit(0), (F.length("manifest") / ENTRY).cast("int") - 1)
+    parts = wanted.select("payload", F.posexplode(F.transform(at, lambda i: F.substring("manifest", i * ENTRY + 1, F.lit(ENTRY)))).alias("seq", "entry"))
+    parts = parts.withColumn("digest", F.substring("entry", 1, ENTRY - 4))
+    counts = written(parts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS), "hot-chunks")
+    # The store is bucketed by digest, so chunks of few payloads are not moved to be joined.  Of chunks with more payloads than
+    # the bound there are at most BROADCAST_ROWS, so their digests are broadcast.
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return parts.join(store, "digest")
+    bound = max(HOT_ROWS, -(-int(total) // BROADCAST_ROWS))
+    hot = F.broadcast(counts.where(F.col("n") > bound))
+    copies = F.ceil(F.col("n") / bound).cast("int")
+    cold = parts.join(hot, "digest", "left_anti").join(store, "digest")
+    dealt = parts.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("payload", "seq"), copies).cast("int")).drop("n")
+    blobs = store.join(hot, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("n")
+    return cold.unionByName(dealt.join(blobs, ["digest", "salt"]).drop("salt"))
+
+
 def read_payloads(recipes: DataFrame, store: DataFrame, dictionary: bytes, feature) -> DataFrame:
     """Reads the payloads of ``recipes`` back from ``store`` and describes them; equal payloads are read once.
 
     ``feature``: (payload, n_chunks) -> string.  Rows (payload, sha binary, tail_crc32, media_bytes, media binary, feature), digests as bytes.
     """
-    wanted = recipes.select("payload", "chunks").dropDuplicates(["payload"])
-    parts = wanted.select("payload", F.posexplode("chunks").alias("seq", "digest")).join(store, "digest")
-    laid = parts.select("payload", "seq", "blob").repartition("payload").sortWithinPartitions("payload", "seq")
+    laid = _laid(recipes, store).select("payload", "seq", "entry", "blob").repartition("payload").sortWithinPartitions("payload", "seq")
 
     def run(batches):
         _, unpack = _zstd(dictionary)
-        now, found, rows, size = None, [], [], 0
+        now, found, rows = None, [], []
 
         def close():
-            chunks = [unpack(blob) for blob in found]
+            chunks = [unpack(blob) for _, blob in found]
+            manifest = b"".join(entry for entry, _ in found)
             payload = b"".join(chunks)
             sha = hashlib.sha256(payload).digest()
-            if sha[:KEY] != now:
+            if sha[:KEY] != now or manifest != manifest_of([hashlib.sha256(c).digest() for c in chunks], list(map(len, chunks))):
                 raise ValueError(f"payload {now.hex()} came back as {sha.hex()}")
-            media = b"".join(hashlib.sha256(c).digest() + struct.pack("<I", len(c)) for c in chunks) + b"".join(found)
+            media = manifest + b"".join(blob for _, blob in found)
             return now, sha, zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).digest(), feature(payload, len(found))
 
         for b in batches:
-            for payload, blob in zip(b.column("payload").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if payload != now:
-                    if found:
-                        rows.append(close())
-                    now, found = payload, []
-                found.append(blob)
+            for part in range(0, b.num_rows, 256):
+                cut = b.slice(part, 256)
+                for payload, entry, blob in zip(*(cut.column(c).to_pylist() for c in ("payload", "entry", "blob")), strict=True):
+                    if payload != now:
+                        if found:
+                            rows.append(close())
+                        now, found = payload, []
+                    found.append((entry, blob))
             if len(rows) > 5000:
                 yield _rows(rows)
                 rows = []
@@ -199,6 +231,8 @@ def read_payloads(recipes: DataFrame, store: DataFrame, dictionary: bytes, featu
             rows.append(close())
         if rows:
             yield _rows(rows)
+        found, rows = [], []
+        give_back()
 
     return laid.mapInArrow(run, "payload binary, sha binary, tail_crc32 long, media_bytes long, media binary, feature string")
 
@@ -222,10 +256,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dictionary = dictionary_of(docs, text_col)
     store = store_chunks(docs, dictionary, text_col)
     recipes = written(recipes_of(docs, id_col, text_col), "recipes")
-    read = read_payloads(recipes, store, dictionary, byte_feature)
+    read = read_payloads(recipes.select("payload", "manifest"), store, dictionary, byte_feature)
+    times = recipes.groupBy("payload").agg(F.count(F.lit(1)).alias("n_rows"))
     hexed = lambda c: F.lower(F.hex(c))
-    return recipes.drop("chunks").join(read, "payload").select(
-        id_col, "n_bytes", "payload_bytes", hexed("sha").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature"
+    return hot_join(recipes.drop("manifest"), written(read.join(times, "payload"), "payloads"), "payload", "n_rows", "inner").select(
+        F.col("id").alias(id_col), "n_bytes", "payload_bytes", hexed("sha").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature"
     )
 
 
