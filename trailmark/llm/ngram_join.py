@@ -4,10 +4,15 @@
    threshold and the recall aimed at.
 2. Distinct sets are shuffled on their band hashes; the members of a bucket are tied to its least member, and connected
    components of these ties are the candidate groups.  Two sets can only be a pair if both are in one group.
-3. A group's sets meet in one task, or, if it is large, in tiles of two blocks of bounded size.  There all pairs that
-   share a band are verified on the full sets; counts of links and a spanning forest leave the task, never all pairs.
+3. A group's sets meet in one task if they are at most ``tile``.  A larger group is taken apart again into the buckets that made
+   it, so a set goes to at most as many tasks as there are bands; only a bucket that is itself larger is cut into tiles of
+   two blocks.  All pairs that share a band are verified on the full sets where their first common band is looked at;
+   counts of links and a spanning forest leave the task, never all pairs.
 4. Components of the verified links are the classes.
 
+A bucket of m > ``tile`` different sets is a group of near copies of each other; to count the links of each of them exactly its
+pairs are verified, in m / (tile / 2) tiles for each set.  Equal sets are one set from step 2 on, whatever their number.
+
 Defined results: words are runs of letters and digits in lower case; a text of fewer than n words has one n-gram, all of
 its words; a text without words (null, empty, marks only) links to nothing and is a class of its own; texts with equal
 sets are copies: of one class, and not counted as links; n_links counts the different n-gram sets linked to the
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, written
+from .common import BROADCAST_ROWS, blocks, give_back, hot_join, packed, text_key, written
 from .components import components
 
 #: Words of an n-gram and least similarity of a pair.
@@ -35,6 +40,10 @@ RECALL, MOST_HASHES = 0.9999, 128
 TILE = 512
 #: Columns of the 0/1 matrix that is multiplied at once.
 WIDE = 8192
+#: Members of sets that are laid side by side at once.
+PART = 1_000_000
+#: Words whose hashes a task remembers.
+REMEMBERED = 100_000
 
 _words = re.compile(r"[^\W_]+").findall
 _U = np.uint64
@@ -70,7 +79,7 @@ class Grams:
         import xxhash
 
         known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > 300_000:
+        if len(known) > REMEMBERED:
             known.clear()
         words, sizes = [], []
         for t in texts:
@@ -139,32 +148,33 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N, id_col: str =
         import xxhash
 
         grams, sign = Grams(n), Signer(bands, rows)
-        for block in blocks(batches, text_col):
-            sets = grams([x or "" for x in block.column(text_col).to_pylist()])
+        for block in blocks(batches, "text"):
+            sets = grams([x or "" for x in block.column("text").to_pylist()])
             full = [i for i, s in enumerate(sets) if len(s)]
             names, marks = [None] * len(sets), [None] * len(sets)
             if full:
                 for i, row in zip(full, sign([sets[i] for i in full]), strict=True):
                     names[i], marks[i] = xxhash.xxh128_digest(sets[i].tobytes()), row
             yield pa.RecordBatch.from_arrays(
-                [block.column(id_col), block.column("key"), pa.array(names, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=[id_col, "key", "grams", "bands"]
+                [block.column("id"), block.column("key"), pa.array(names, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "key", "grams", "bands"]
             )
+        del grams
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, key string, grams binary, bands array<bigint>")
-
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
+    return keyed.mapInArrow(run, f"id {kind}, key string, grams binary, bands array<bigint>")
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_col, text_col, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key"))
 
-
-def _pairs(bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float):
-    """Index pairs of similar sets among those that share a band; only across sides where a tile has two."""
+def _pairs(bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float, at: int = -1):
+    """Index pairs of similar sets among those that share a band; only across sides where a tile has two, and only those whose first common band is ``at``, if that is one."""
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     both = np.zeros((n, n), bool)
-    for k in range(bands.shape[1]):
+    for k in range(bands.shape[1] if at < 0 else at):
         both |= bands[:, k, None] == bands[None, :, k]
+    if at >= 0:
+        both = ~both & (bands[:, at, None] == bands[None, :, at])
     both &= np.triu(np.ones((n, n), bool), 1)
     if side.any():
         both &= side[:, None] != side[None, :]
@@ -176,19 +186,26 @@ def _pairs(bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshol
         shared = np.fromiter((len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)), np.int64, len(i))
     else:
         # Common members of all pairs at once: a product of 0/1 matrices over the n-grams that two sets or more have.
-        value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(n), sizes)
-        use = count[column] > 1
-        place = np.cumsum(count > 1) - 1
-        row, column = row[use], place[column[use]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
+        # Sets are sorted, so the range of hashes is gone through in parts of about PART members.
         common = np.zeros((n, n), np.float32)
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
-            a, b = np.searchsorted(column, [at, at + WIDE])
-            m = np.zeros((n, min(WIDE, int(column[-1]) + 1 - at)), np.float32)
-            m[row[a:b], column[a:b] - at] = 1
-            common += m @ m.T
+        parts = -(-int(sizes.sum()) // PART)
+        ends = [np.uint64(k * (2**64 // parts)) for k in range(1, parts)]
+        cuts = np.stack([np.concatenate([[0], np.searchsorted(s, ends), [len(s)]]) for s in sets])
+        for k in range(parts):
+            part = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+            value, column, count = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(n), [len(x) for x in part])
+            use = count[column] > 1
+            place = np.cumsum(count > 1) - 1
+            row, column = row[use], place[column[use]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            width = int(column[-1]) + 1 if len(column) else 0
+            for at in range(0, width, WIDE):
+                x, y = np.searchsorted(column, [at, at + WIDE])
+                m = np.zeros((n, min(WIDE, width - at)), np.float32)
+                m[row[x:y], column[x:y] - at] = 1
+                common += m @ m.T
         shared = common[i, j].astype(np.int64)
     ok = shared >= threshold * (sizes[i] + sizes[j] - shared) - 1e-9
     return i[ok], j[ok]
@@ -198,11 +215,11 @@ def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
     """Rows (grams, root, links): of each set in each tile, the least set it is tied to there and its number of links."""
 
     def run(batches):
-        now, rows, out = None, [], []
+        now, at, rows, out = None, -1, [], []
 
         def close():
             names = [r[0] for r in rows]
-            i, j = _pairs(np.stack([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[3] for r in rows]), threshold)
+            i, j = _pairs(np.stack([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[3] for r in rows]), threshold, at)
             links = np.bincount(np.concatenate([i, j]), minlength=len(rows))
             up = list(range(len(rows)))
 
@@ -224,18 +241,22 @@ def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["grams", "root", "links"])
 
         for b in batches:
-            for comp, x, y, grams, bands, members, side in zip(*(b.column(c).to_pylist() for c in ("comp", "x", "y", "grams", "bands", "members", "side")), strict=True):
-                if (comp, x, y) != now:
-                    if len(rows) > 1:
-                        close()
-                    now, rows = (comp, x, y), []
-                rows.append((grams, np.array(bands, np.int64), members, side))
+            for part in range(0, b.num_rows, 256):
+                cut = b.slice(part, 256)
+                for group, x, y, band, grams, bands, members, side in zip(*(cut.column(c).to_pylist() for c in ("grp", "x", "y", "band", "grams", "bands", "members", "side")), strict=True):
+                    if (group, x, y) != now:
+                        if len(rows) > 1:
+                            close()
+                        now, at, rows = (group, x, y), band, []
+                    rows.append((grams, np.array(bands, np.int64), members, side))
             if len(out) > 20_000:
                 yield batch()
                 out = []
         if len(rows) > 1:
             close()
         yield batch()
+        rows, out = [], []
+        give_back()
 
     return tiles.mapInArrow(run, "grams binary, root binary, links long")
 
@@ -249,59 +270,88 @@ def _gram_sets(texts: DataFrame, n: int) -> DataFrame:
         for block in blocks(batches, "text"):
             sets = [s.tobytes() for s in grams([x or "" for x in block.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(sets, pa.binary())], names=[*keep, "members"])
+        del grams
+        give_back()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
     return texts.mapInArrow(run, f"{kept}, members binary")
 
 
+def _tiled(units: DataFrame, tile: int) -> DataFrame:
+    """``units`` (with ``n``, the rows of their ``grp``) with a row for each tile (x, y) of their group that they are in, and their side in it."""
+    n_blocks = F.when(F.col("n") <= tile, 1).otherwise(F.ceil(F.col("n") / (tile // 2))).cast("int")
+    own = units.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("grams"), F.col("n_blocks")).cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "band", "grams", "bands", "members", (F.col("own") > F.col("other")).cast("int").alias("side")
+    )
+
+
 def _placed(docs: DataFrame, n: int, threshold: float, recall: float, tile: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, key, root, n_links) for every row of ``docs``: the digest of its text, the set that stands for its class (null without words)."""
     bands, rows = bands_and_rows(threshold, recall)
     signed = written(signatures(docs, bands, rows, n, id_col, text_col), "signatures")
 
     # Distinct sets; of equal sets the first key stands for all.
-    sets = signed.where("grams is not null").groupBy("grams").agg(F.min(F.struct("key", "bands")).alias("one")).select("grams", "one.key", "one.bands")
-    ends = sets.select("grams", F.explode("bands").alias("band"))
-    leaders = ends.groupBy("band").agg(F.min("grams").alias("leader"), F.max("grams").alias("last")).where("leader <> last").select("band", "leader")
-    ties = ends.join(leaders, "band").where("grams <> leader").select(F.col("grams").alias("u"), F.col("leader").alias("v"))
+    sets = signed.where("grams is not null").groupBy("grams").agg(F.min(F.struct("key", "bands")).alias("one"), F.count(F.lit(1)).alias("n_rows")).select("grams", "one.key", "one.bands", "n_rows")
+    sets = written(sets, "distinct")
+    ends = sets.select("grams", F.explode("bands").alias("mark"))
+    leaders = ends.groupBy("mark").agg(F.min("grams").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = written(leaders, "leaders")
+    ties = hot_join(ends, leaders, "mark", "n", "inner").where("grams <> leader").select(F.col("grams").alias("u"), F.col("leader").alias("v"))
     groups = components(ties, "candidates")
 
-    found = written(sets.join(groups.withColumnRenamed("node", "grams"), "grams").withColumnRenamed("root", "comp"), "candidates")
-    half = tile // 2
-    counts = found.groupBy("comp").count().withColumn("n_blocks", F.when(F.col("count") <= tile, 1).otherwise(F.ceil(F.col("count") / half)).cast("int"))
-    texts = docs.select(F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key")).groupBy("key").agg(F.first("text").alias("text"))
-    full = _gram_sets(texts.join(found, "key").select("text", "grams", "bands", "comp"), n)
-    placed = full.join(counts.select("comp", "n_blocks"), "comp").withColumn("own", F.pmod(F.xxhash64("grams"), F.col("n_blocks")).cast("int"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "grams", "bands", "members", (F.col("own") > F.col("other")).cast("int").alias("side"), "n_blocks"
-    )
-    dealt = tiles.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+    found = written(sets.join(groups.withColumnRenamed("node", "grams"), "grams").withColumnRenamed("root", "grp"), "candidates")
+    sized = written(hot_join(found, written(found.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "groups"), "grp", "n"), "sized")
+    wanted = sized.select("key")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key")).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    full = _gram_sets(texts.join(sized, "key").select("text", "grams", "bands", "grp", "n"), n)
+    if sized.where(F.col("n") > tile).isEmpty():
+        units = full.withColumn("band", F.lit(-1))
+    else:
+        full = written(full, "sets")
+        small = full.where(F.col("n") <= tile).withColumn("band", F.lit(-1))
+        # Each set of a large group goes to its buckets that others are in as well.
+        large = full.where(F.col("n") > tile).select("grams", "bands", "members", F.posexplode("bands").alias("band", "mark"))
+        marks = written(large.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        bucketed = hot_join(large, marks, "mark", "n", "inner").select("grams", "bands", "members", F.concat(F.lit("bucket "), F.col("mark").cast("string")).cast("binary").alias("grp"), "n", "band")
+        units = small.select(*bucketed.columns).unionByName(bucketed)
+    dealt = _tiled(units, tile).repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
     links = written(_verified(dealt, threshold), "links")
 
     tied = components(links.select(F.col("grams").alias("u"), F.col("root").alias("v")), "classes")
-    counted = links.groupBy("grams").agg(F.sum("links").alias("n_links"))
-    known = counted.join(tied.select(F.col("node").alias("grams"), "root"), "grams", "left").select("grams", "n_links", F.coalesce("root", "grams").alias("root"))
-    placed = signed.select(id_col, "key", "grams").join(known, "grams", "left").select(id_col, "key", F.coalesce("root", "grams").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return written(placed, "placed")
+    counted = links.groupBy("grams").agg(F.sum("links").alias("n_links")).where("n_links > 0")
+    linked = counted.join(tied.select(F.col("node").alias("grams"), "root"), "grams", "left").select("grams", "n_links", F.coalesce("root", "grams").alias("root"))
+    known = written(linked.join(sets.select("grams", "n_rows"), "grams"), "linked")
+    placed = hot_join(signed.select("id", "key", "grams"), known, "grams", "n_rows")
+    return written(placed.select("id", "key", F.coalesce("root", "grams").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "placed")
 
 
 def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, class_id, n_links long, class_size long) for every row of ``docs``."""
     placed = _placed(docs, n, threshold, recall, tile, id_col, text_col)
-    classes = placed.where("root is not null").groupBy("root").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(classes, "root", "left").select(
-        id_col, F.when(F.col("root").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), "n_links", F.coalesce("class_size", F.lit(1)).alias("class_size")
+    # Most classes have one row, which needs no other's word.
+    classes = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    return hot_join(placed, written(classes, "sizes"), "root", "class_size").select(
+        F.col("id").alias(id_col), F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", F.coalesce("class_size", F.lit(1)).alias("class_size")
     )
 
 
 def one_of_each_class(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of least id of each class (any one, if all ids are null), and all rows without words."""
-    names = docs.columns
+    """The row of least id of each class (any one, if all ids are null), and all rows without words; with all columns of ``docs``."""
     placed = _placed(docs, n, threshold, recall, tile, id_col, text_col)
-    first = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("key").alias("key"))).alias("m"))
-    kept = first.select(F.col("m.id").alias("trailmark_id"), F.col("m.key").alias("trailmark_kept"))
-    wordless = placed.where("root is null").select(F.col("key").alias("trailmark_key")).distinct()
-    keyed = docs.withColumn("trailmark_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    ones = keyed.join(kept, (F.col("trailmark_key") == F.col("trailmark_kept")) & F.col(id_col).eqNullSafe(F.col("trailmark_id")), "left_semi")
-    ones = ones.dropDuplicates([id_col, "trailmark_key"])
-    return ones.select(*names).unionByName(keyed.join(wordless, "trailmark_key", "left_semi").select(*names))
+    first = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("m"))
+    kept = written(first.select(F.col("m.id").alias("id"), F.col("m.key").alias("key")), "kept")
+    rows = packed(docs, text_col).select("row", F.col(f"row.`{id_col}`").alias("id"), text_key(F.col("text")).alias("key"))
+    # Rows of one id and text are repeats of one row, of which one stays; with null ids there is nothing else to tell them apart.
+    if kept.count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    ones = rows.join(kept, rows["key"].eqNullSafe(kept["key"]) & rows["id"].eqNullSafe(kept["id"]), "left_semi")
+    if not placed.where("root is not null").groupBy("id", "key").count().where("count > 1").isEmpty():
+        ones = ones.dropDuplicates(["id", "key"])
+    wordless = placed.where("root is null").select("key").distinct()
+    if wordless.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wordless = F.broadcast(wordless)
+    both = ones.select("row").unionByName(rows.join(wordless, "key", "left_semi").select("row"))
+    return both.select(*(F.col("row")[c].alias(c) for c in docs.columns))
