@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, reported speech, quotation, other).  Four transducers over these symbols -
-negation, reported speech, target and threat - each pass a clause on with some symbols rewritten: an insult after a
-negation becomes a denied one, one under a reporting verb a reported one, one near a target a directed one.  Composed, they
-are one transducer that reads a clause and says which patterns it holds; the score of a text is built from its matched
-clauses, each weighted by its patterns, and not from isolated words.
+Words become symbols (insult, threat, target, negation, reported speech, quotation, other).  Five weighted transducers over these
+symbols - negation, reported speech, target, threat and repetition - each pass a clause on with some symbols rewritten: an
+insult after a negation becomes a denied one, one under a reporting verb a reported one, one near a target a directed one, one after
+earlier insults a repeated one.  Each arc has a weight (the farther a target is, the less); composed, they are one weighted transducer that
+reads a text clause by clause and says which patterns a clause holds and how strongly.  The score of a text is built from its
+matched clauses: a word of the lexicon that stands alone, with no target, threat or other insult, matches ``alone``, whose weight is
+fixed below what marks a text as toxic.
 
 Learned, from a bounded sample of labelled rows (``TRAIN_ROWS``, by hash of the id): the insult lexicon (words and word
 beginnings that stand in toxic rows in many different contexts and hardly in others), with a weight for each, and the weight of
-each pattern.  Seed words have a weight before any label is seen.
+each pattern but ``alone``.  Seed words have a weight before any label is seen.
 
 Defined results: a null, empty or wordless text has the score of no match; scores lie in 0..1; without labels the seed lexicon
 and the patterns' first weights hold; labels that are null or contradict each other are averaged by document; extra columns are
@@ -19,25 +21,27 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import held_out, map_text
+from .common import BROADCAST_ROWS, give_back, held_out, map_text, written
 
 #: Labelled rows that are learned from at most (the expected number; drawn by hash).
-TRAIN_ROWS = 20_000
-#: Entries of the learned lexicon at most, the strongest first.
+TRAIN_ROWS = 30_000
+#: Entries of the learned lexicon at most, the strongest first: the size of the model.
 LEXICON = 5_000
 #: A learned word or word beginning stands in so many toxic rows and different contexts at least, and raises the odds by e to
 #: this power.
-LEAST_ROWS, LEAST_CONTEXTS, LEAST_LOG_ODDS = 6, 5, 4.4
+LEAST_ROWS, LEAST_CONTEXTS, LEAST_LOG_ODDS = 6, 5, 3.9
 #: Letters of word beginnings that are learned, for words that are longer.
 STEMS = range(4, 9)
-#: Marks of toxic rows that are broadcast at most; short words, so some tens of MB.
-MARKS = 400_000
 CUT = 0.3
+#: Words outside the lexicon that a task remembers.
+REMEMBERED = 100_000
 
 # Seed lexicon of the grammar's classes.
 INSULTS = "idiot idiots moron morons scum trash loser losers clown stupid pathetic worthless disgusting dumb imbecile bastard idiota imbécil estúpido basura crétin imbécile connard abruti dummkopf trottel abschaum arschloch"
@@ -47,26 +51,29 @@ TARGETS = "you your yours u they them he she him her people du dich dir ihr euch
 NEGATIONS = "not no never neither nor isn't aren't wasn't don't doesn't without nicht kein keine nie niemals pas jamais sans nunca jamás sin"
 REPORTS = "said says say called calls wrote writes claimed told quoted reportedly allegedly according sagte schrieb nannte dit écrit appelé dijo escribió llamó"
 
-# Symbols.
-O, I, V, L, T, N, R, Q = "other", "insult", "verb", "lead", "target", "negation", "report", "quote"
+# Symbols; the end of a clause is one.
+O, I, V, L, T, N, R, Q, END = "other", "insult", "verb", "lead", "target", "negation", "report", "quote", "end"
 #: What a clause's insult or threat is read as in the end, with the weight (as a probability) that holds before learning.
-PATTERNS = {"directed": 0.95, "plain": 0.9, "threat": 0.8, "reported": 0.35, "denied": 0.25}
+PATTERNS = {"directed": 0.95, "repeated": 0.9, "threat": 0.8, "reported": 0.35, "denied": 0.25, "alone": 0.2}
+#: The weight of this one is not learned.
+FIXED = "alone"
+SYMBOLS = frozenset({O, I, V, L, T, N, R, Q, END, *PATTERNS})
 
 _clause = re.compile(r"[.!?;:\n]+")
 _word = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]").findall
 
 
 class Transducer:
-    """A deterministic finite-state transducer: (state, symbol) -> (state, symbol); missing arcs go back to the start and copy."""
+    """A deterministic weighted finite-state transducer: (state, symbol) -> (state, symbol, weight); missing arcs go back to the start and copy at weight 1."""
 
-    def __init__(self, arcs: dict[tuple[str, str], tuple[str, str]], start: str = "0"):
+    def __init__(self, arcs: dict[tuple[str, str], tuple[str, str, float]], start: str = "0"):
         self.arcs, self.start = arcs, start
 
-    def step(self, state: str, symbol: str) -> tuple[str, str]:
-        return self.arcs.get((state, symbol), (self.start, symbol))
+    def step(self, state: str, symbol: str) -> tuple[str, str, float]:
+        return self.arcs.get((state, symbol), (self.start, symbol, 1.0))
 
-    def compose(self, other: Transducer, symbols: set[str]) -> Transducer:
-        """What this one writes is read by ``other``; only states that can be reached are built."""
+    def compose(self, other: Transducer, symbols: frozenset[str] = SYMBOLS) -> Transducer:
+        """What this one writes is read by ``other``, weights multiplied; only states that can be reached are built."""
         start = f"{self.start}|{other.start}"
         arcs, todo, seen = {}, [(self.start, other.start)], set()
         while todo:
@@ -75,37 +82,45 @@ class Transducer:
                 continue
             seen.add((a, b))
             for s in symbols:
-                a2, mid = self.step(a, s)
-                b2, out = other.step(b, mid)
-                arcs[f"{a}|{b}", s] = f"{a2}|{b2}", out
+                a2, mid, v = self.step(a, s)
+                b2, out, w = other.step(b, mid)
+                arcs[f"{a}|{b}", s] = f"{a2}|{b2}", out, v * w
                 todo.append((a2, b2))
         return Transducer(arcs, start)
 
 
-def _window(opens: set[str], closes: set[str], rewrite: dict[str, str], width: int, symbols: set[str]) -> Transducer:
-    """After a symbol of ``opens``, for ``width`` symbols or until one of ``closes``, symbols are rewritten."""
+def _window(opens: str, rewrite: dict[str, str], width: int, fade: float = 1.0) -> Transducer:
+    """After the symbol ``opens``, for ``width`` symbols or until the clause ends, symbols are rewritten, with a weight that fades from symbol to symbol."""
     arcs = {}
     for k in range(width + 1):
-        for s in symbols:
-            if s in opens:
-                arcs[str(k), s] = str(width), s
-            elif k and s not in closes:
-                arcs[str(k), s] = str(k - 1), rewrite.get(s, s)
+        for s in SYMBOLS:
+            if s == opens:
+                arcs[str(k), s] = str(width), s, 1.0
+            elif k and s != END:
+                arcs[str(k), s] = str(k - 1), rewrite.get(s, s), fade ** (width - k) if s in rewrite else 1.0
             else:
-                arcs[str(k), s] = "0", s
+                arcs[str(k), s] = "0", s, 1.0
     return Transducer(arcs)
 
 
+def _again() -> Transducer:
+    """An insult that nothing else was made of is alone if it is the text's first, else repeated; the ends of clauses do not matter."""
+    arcs = {}
+    for s in SYMBOLS:
+        arcs["0", s] = ("1", FIXED, 1.0) if s == I else ("1" if s == "directed" else "0", s, 1.0)
+        arcs["1", s] = "1", "repeated" if s == I else s, 1.0
+    return Transducer(arcs)
+
+
+@lru_cache(maxsize=1)
 def grammar() -> Transducer:
-    """negation o reported speech o target o threat."""
-    base = {O, I, V, L, T, N, R, Q}
-    made = base | {"denied", "reported", "directed", "threat"}
-    negation = _window({N}, set(), {I: "denied", V: "denied"}, 3, made)
-    reported = _window({R}, set(), {I: "reported", V: "reported"}, 8, made)
-    target = _window({T}, set(), {I: "directed"}, 5, made)
+    """negation o reported speech o target o threat o repetition."""
+    negation = _window(N, {I: "denied", V: "denied"}, 3)
+    reported = _window(R, {I: "reported", V: "reported"}, 8)
+    target = _window(T, {I: "directed"}, 5, 0.95)
     # A verb of violence is a threat only after a lead ("will", "should"), else an ordinary word.
-    threat = _window({L}, set(), {V: "threat"}, 3, made)
-    return negation.compose(reported, made).compose(target, made).compose(threat, made)
+    threat = _window(L, {V: "threat"}, 3, 0.9)
+    return negation.compose(reported).compose(target).compose(threat).compose(_again())
 
 
 class Weights(dict):
@@ -117,7 +132,7 @@ class Weights(dict):
 
     def __missing__(self, word: str) -> float:
         found = max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0) if self.stems else 0.0
-        if len(self) > 400_000:
+        if len(self) > REMEMBERED + len(self.words):
             self.clear()
             self.update(self.words)
         self[word] = found
@@ -140,22 +155,22 @@ class Model:
         self.arcs, self.start = machine.arcs, machine.start
 
     def matches(self, text: str) -> list[tuple[str, float]]:
-        """(pattern, weight of its strongest word) of each clause that matches, in order."""
+        """(pattern, weight of its strongest path) of each clause that matches, in order."""
         found = []
         low = text.lower()
         # Almost all texts hold no heavy word; only those with one are cut into clauses.
         distinct, weight = set(_word(low)), self.weights.__getitem__
         if self.verbs.isdisjoint(distinct) and not any(map(weight, distinct)):
             return found
+        state = self.start
         for clause in _clause.split(low):
-            state, best = self.start, {}
+            best: dict[str, float] = {}
             for w in _word(clause):
                 s = self.symbol.get(w) or (I if weight(w) else O)
-                state, out = self.arcs[state, s]
-                if out == I:
-                    out = "plain"
+                state, out, strength = self.arcs[state, s]
                 if out in self.patterns:
-                    best[out] = max(best.get(out, 0.0), weight(w) if s == I else 1.0)
+                    best[out] = max(best.get(out, 0.0), strength * (weight(w) if s == I else 1.0))
+            state = self.arcs[state, END][0]
             found.extend(best.items())
         return found
 
@@ -186,8 +201,6 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The lexicon, the stems and the patterns' weights from the sample."""
-    from .common import written
-
     rows = written(_sample(docs, labels, id_col, text_col, label_col), "toxicity")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -203,18 +216,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Only what stands in enough toxic rows is looked for in the others.
     often = written(each(cut.where("y = 1")).groupBy("mark").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= LEAST_ROWS), "toxic-marks")
     wanted = often.select("mark")
-    if often.count() <= MARKS:
+    if often.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     others = each(cut.where("y = 0")).join(wanted, "mark").groupBy("mark").agg(F.count(F.lit(1)).alias("b"))
     counts = often.join(others, "mark", "left").select("mark", "a", F.coalesce("b", F.lit(0)).alias("b"))
     odds = F.log(((F.col("a") + 0.5) / n1) / ((F.col("b") + 0.5) / n0))
-    odd = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc("odds"), F.desc("a"), "mark").limit(4 * LEXICON)
-    odd = written(odd, "toxic-odds")
+    odd = written(counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS), "toxic-odds")
     # Their neighbours in toxic rows: near copies of one text count as one context.  Rows carry three words, not the text.
     near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     placed = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))
     seen = cut.where("y = 1").select(F.explode(placed).alias("x")).select(F.explode(marks(F.col("x.word"))).alias("mark"), "x.context")
-    contexts = seen.join(F.broadcast(odd.select("mark")), "mark").groupBy("mark").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    looked = odd.select("mark")
+    if odd.count() <= BROADCAST_ROWS:
+        looked = F.broadcast(looked)
+    contexts = seen.join(looked, "mark").groupBy("mark").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
     top = odd.join(contexts, "mark").orderBy(F.desc("odds"), F.desc("a"), "mark").limit(LEXICON).collect()
     learned = {r["mark"]: 1 / (1 + math.exp(-(r["odds"] + math.log(n1 / n0)))) for r in top}
     words = dict.fromkeys(INSULTS.split(), 0.6) | {k: v for k, v in learned.items() if not k.endswith("*")}
@@ -225,10 +240,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             found = [[p for p, _ in first.matches(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))], names=["y", "p"])
+        give_back()
 
     by = rows.select("text", "y").mapInArrow(run, "y int, p array<string>").select("y", F.explode("p").alias("p")).groupBy("p").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).collect()
     # The share of toxic rows among those with a pattern, drawn towards the first weight by 20 rows' worth.
-    return Model(words, stems, {r["p"]: (r["a"] + 20 * PATTERNS[r["p"]]) / (r["n"] + 20) for r in by})
+    return Model(words, stems, {r["p"]: (r["a"] + 20 * PATTERNS[r["p"]]) / (r["n"] + 20) for r in by if r["p"] != FIXED})
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -245,5 +261,6 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
         return f
 
-    out = pa.schema([("score", pa.float64()), ("predicted", pa.int32()), ("clauses", pa.list_(pa.string()))])
-    return map_text(docs.select(id_col, text_col), make, "score double, predicted int, clauses array<string>", out, text_col)
+    names = ("score", "predicted", "clauses")
+    out = StructType([StructField(n, k) for n, k in zip(names, (DoubleType(), IntegerType(), ArrayType(StringType())), strict=True)])
+    return map_text(docs.select(id_col, text_col), make, out, pa.schema(list(zip(names, (pa.float64(), pa.int32(), pa.list_(pa.string())), strict=True))), text_col)
