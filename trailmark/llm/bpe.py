@@ -17,19 +17,22 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import map_text
 
 #: Pieces of up to so many bytes are merged in matrix rows.
 SHORT = 64
-#: Pieces whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Bytes of pieces and ids that a task remembers; beyond that it starts anew.
+REMEMBERED_BYTES = 24_000_000
 FAR = np.int64(1) << 60
 
 
@@ -104,22 +107,26 @@ class Codec:
         to_byte = {s: b for b, s in enumerate(symbols)}
         self.byte_id = np.array([vocab[s] for s in symbols], np.int64)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items() if s not in special}
-        self.bytes_of |= {i: s.encode() for s, i in special.items()}
+        self.table = [b""] * (1 + max([*vocab.values(), *special.values()]))
+        for s, i in vocab.items():
+            if s not in special:
+                self.table[i] = bytes(to_byte[c] for c in s)
+        for s, i in special.items():
+            self.table[i] = s.encode()
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         pairs = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
-        self.rank_of = {int(p): r for r, p in reversed(list(enumerate(pairs)))}
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.ranks = np.append(pairs[order], FAR), np.append(order, 0)
+        self.sorted_pairs = memoryview(self.pairs)
         self.special = special
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pieces = Pieces()
-        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.known = Numbered()
+    def forget(self) -> None:
+        """Lets go of the pieces that were merged so far."""
+        self.known, self.kept_bytes = Numbered(), 0
         self.pool = np.empty(1 << 20, np.uint32)
         self.start = np.zeros(1 << 18, np.int64)  # piece k has the ids pool[start[k]:start[k + 1]]
 
@@ -198,20 +205,22 @@ class Codec:
 
     def merge_one(self, word: bytes) -> np.ndarray:
         """Merges one long piece with a segment tree of its own: O(n log n)."""
-        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        n, far, rank_of = len(ids), int(FAR), self.rank_of
+        first = self.byte_id[np.frombuffer(word, np.uint8)]
+        ids = first.tolist()
+        n, far = len(ids), int(FAR)
         width = 1
         while width < n:
             width *= 2
         ids.append(-1)
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        tree = [far] * (2 * width)
-        for i in range(n - 1):
-            if (r := rank_of.get(ids[i] << 20 | ids[i + 1])) is not None:
-                tree[width + i] = r * width + i
+        after, before = array("q", range(1, n + 2)), array("q", range(-1, n))
+        tree = array("q", [far]) * (2 * width)
+        ranks = self._rank(first[:-1], first[1:])
+        tree[width : width + n - 1] = array("q", np.where(ranks < FAR, ranks * width + np.arange(n - 1), FAR).tobytes())
         for k in range(width - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
+        seen: dict[int, int] = {}
+
         def put(leaf: int, value: int) -> None:
             k = leaf + width
             tree[k] = value
@@ -224,8 +233,13 @@ class Codec:
                 k >>= 1
 
         def value(a: int, b: int, at: int) -> int:
-            r = rank_of.get(ids[a] << 20 | ids[b]) if b < n else None
-            return far if r is None else r * width + at
+            if b >= n:
+                return far
+            key = ids[a] << 20 | ids[b]
+            if key not in seen:
+                k = bisect_left(self.sorted_pairs, key)
+                seen[key] = int(self.ranks[k]) if self.sorted_pairs[k] == key else -1
+            return far if seen[key] < 0 else seen[key] * width + at
 
         while tree[1] < far:
             rank, p = divmod(tree[1], width)
@@ -245,8 +259,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
+        if self.kept_bytes > REMEMBERED_BYTES:
+            self.forget()
         pieces: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
@@ -277,6 +291,8 @@ class Codec:
             if got[i] is None:
                 got[i] = np.array([self.special[p]], np.uint32) if p in self.special else self.merge_one(raw[i])
         sizes = np.fromiter(map(len, got), np.int64, len(got))
+        # A piece costs its characters, its ids and about as much as a key and a value of a dictionary take.
+        self.kept_bytes += sum(map(len, raw)) + 4 * int(sizes.sum()) + 160 * len(new)
         end, base = at + len(new), int(self.start[at])
         while len(self.start) <= end:
             self.start = np.append(self.start, np.zeros_like(self.start))
@@ -312,11 +328,12 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 cols.append([bpe.decode(np.frombuffer(b, "<u4")) for b in packed])
             return cols
 
+        f.end = bpe.forget
         return f
 
-    fields = [("n_tokens", pa.int64()), ("ids", pa.binary())] + ([("decoded", pa.string())] if with_decoded else [])
-    kinds = "n_tokens long, ids binary" + (", decoded string" if with_decoded else "")
-    return map_text(docs.select(id_col, *keep, text_col), make, kinds, pa.schema(fields), text_col)
+    fields = [("n_tokens", pa.int64(), LongType()), ("ids", pa.binary(), BinaryType())] + ([("decoded", pa.string(), StringType())] if with_decoded else [])
+    out = StructType([StructField(n, k) for n, _, k in fields])
+    return map_text(docs.select(id_col, *keep, text_col), make, out, pa.schema([(n, k) for n, k, _ in fields]), text_col)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:

@@ -36,7 +36,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     learned = dictionaries(docs.where(training_rows(docs)))
-    seen = identify(docs.select("doc_id", "text"), learned)
+    seen = identify(docs, learned, keep=("doc_id",))
     return seen.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
@@ -59,8 +59,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find(docs, pii.train(docs))
+    found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("pii_base", lambda x: x["k"] == k)).cast("long")
     return found.select(
         "doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)), F.sha2(pii.spelled(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), pii.spelled(F.col("pii_spans")).alias("spans")
