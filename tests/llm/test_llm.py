@@ -78,11 +78,36 @@ def test_segment_tree_forms_agree():
 # -- 2 -------------------------------------------------------------------------------------------------------------------
 
 
+SECRETS = (
+    (r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
+    (r"AKIA[A-Z0-9]+", 18, 0),
+    (r"[0-9a-f]+", 16, 0),
+)
+
+
 def brute_secrets(t):
-    found = []
-    for k, (p, least, group) in enumerate(((secrets.ASSIGN, 12, 2), (secrets.ACCESS, 18, 0), (re.compile("[0-9a-f]+"), 16, 0))):
-        found += [(m.start(), k, m.end()) for m in p.finditer(t) if len(m[group]) >= least]
-    return sorted(found)
+    return sorted((m.start(), k, m.end()) for k, (p, least, group) in enumerate(SECRETS) for m in re.finditer(p, t) if len(m[group]) >= least)
+
+
+def brute_random(t, base, tokens):
+    """Every maximal stretch of secret-like characters outside the base spans, judged by itself."""
+    free = ["".join(" " if any(a <= i < b for a, _, b in base) else c for i, c in enumerate(t))][0]
+    return [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]+", free) if m.end() - m.start() >= 20 and secrets.is_random(m[0], tokens)]
+
+
+def test_random_spans_brute():
+    tokens = secrets.token_counter(queries.tokenizer_path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rand = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    words = lambda: rng.choice(["the house", "internationalization", "some_long_identifier_name", "path/to/some/file/name", "20240131", "token=", "é", "\n", " "])
+    for _ in range(300):
+        t = " ".join(rng.choice([words, lambda: rand(letters, rng.randint(8, 40)), lambda: rand(letters.upper() + letters + "0123456789+/", rng.randint(8, 60)), lambda: rand("0123456789abcdef", rng.randint(8, 40)), lambda: "secret=" + rand(letters + "_=", 30) + "+/" + rand(letters, 25)])() for _ in range(8))
+        base = secrets.base_spans(t)
+        assert base == brute_secrets(t)
+        assert sorted(secrets.random_spans(t, base, tokens)) == brute_random(t, base, tokens)
+    assert secrets.is_random(rand(letters, 32), tokens) and secrets.is_random(rand(letters.upper(), 32), tokens) and secrets.is_random("ghp_nEdw3MTjq4E0qHsoxIaPFaZmSo0qQaGwpAht", tokens)
+    assert not any(secrets.is_random(x, tokens) for x in ("internationalizationservices", "my-long-kebab-identifier-name-here", "0123456789012345678901234", "d41d8cd98f00b204e9800998ecf8427e", "x" * 500))
 
 
 def test_secrets(spark, docs, edge, empty):
@@ -211,6 +236,59 @@ def test_simple_tree_matching():
     assert size == 5 and [(x.tag, y.tag) for x, y in pairs] == [("#root", "#root"), ("div", "div"), ("p", "p"), ("ul", "ul"), ("li", "li")]
 
 
+def brute_matching(a, b):
+    """Size of the largest mapping by the textbook's table, over parts."""
+    if a.label() != b.label():
+        return 0
+    best = [[0] * (len(b.parts) + 1) for _ in range(len(a.parts) + 1)]
+    for i, x in enumerate(a.parts):
+        for j, y in enumerate(b.parts):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_simple_tree_matching_brute(monkeypatch):
+    rng = random.Random(12)
+
+    def tree(depth):
+        t = rng.choice(["div", "p", "ul", "section"])
+        return f"<{t}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + f"x</{t}>"
+
+    for k in range(200):
+        monkeypatch.setattr(html, "CELLS", 4 if k % 2 else 4_000_000)  # also in halves
+        a, b = html.parse(tree(3)), html.parse(tree(3))
+        size, pairs = html.match(a, b)
+        assert size == brute_matching(a, b) == len(pairs)
+    x, y = [rng.randrange(3) for _ in range(70)], [rng.randrange(3) for _ in range(60)]
+    shapes = html.Shapes()
+    kinds = [shapes.number((t, frozenset()), ()) for t in "abc"]
+    small = shapes._tabled([kinds[i] for i in x[:30]], [kinds[j] for j in y[:30]])
+    monkeypatch.setattr(html, "CELLS", 10_000)
+    rows = np.stack(list(shapes._rows([kinds[i] for i in x[:30]], [kinds[j] for j in y[:30]])))
+    assert small[0] == rows[-1, -1]
+
+
+def test_html_template_inside_the_article():
+    slogan = lambda i: body_text([f"<article><h1>Title {k}</h1><p>Words of text {k}</p><p>Our slogan: always true</p><p>{k} ends</p></article>" for k in range(6)])[i]
+    assert slogan(3) == "Title 3\nWords of text 3\n3 ends"
+    # A notice without a telling name, at another place in each page.
+    pages = [f"<div><h1>Title {k}</h1>{''.join(f'<p>part {j} of {k}</p>' for j in range(k + 1))}<p>We use small files to serve you better</p><p>last of {k}</p></div>" for k in range(6)]
+    assert all("small files" not in t and f"last of {k}" in t for k, t in enumerate(body_text(pages)))
+
+
+def test_html_very_deep_and_wide():
+    import time
+
+    began = time.time()
+    deep = "<div>" * 50_000 + "deep text"
+    assert html.extract([deep, "<p>other</p>"]) == ["deep text", "other"]
+    assert html.extract(["<b>" * 50_000 + "inline"]) == ["inline"]
+    wide = ["<ul>" + "".join(f"<li>{k} {j}" for j in range(6_000 + k)) + "</ul>" for k in range(2)]
+    assert [t.count("\n") + 1 for t in html.extract(wide)] == [6_000, 6_001]
+    assert html.extract(["<li>" * 20_000 + "<dt>" * 20_000 + "</p>" * 20_000 + "end"]) == ["end"]
+    assert time.time() - began < 60
+
+
 # -- 6 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -224,7 +302,61 @@ def test_media(spark, docs, edge, empty):
         for r in got:
             options = {hashlib.sha256(p).hexdigest(): (len(t), len(p), zlib.crc32(p[-64:])) for t in texts[r["doc_id"]] for p in [t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))]}
             assert options[r["payload_sha256"]] == (r["n_bytes"], r["payload_bytes"], r["tail_crc32"])
+        # The stored form, built anew: manifest and compressed chunks.
+        dictionary = media.dictionary_of(df)
+        pack, _ = media._zstd(dictionary)
+        for r in df.collect():
+            p = media.payload_of((r["text"] or "").encode())
+            ends = media.chunk_ends([p])[0]
+            chunks = [p[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            form = b"".join(hashlib.sha256(c).digest() + len(c).to_bytes(4, "little") for c in chunks) + b"".join(map(pack, chunks))
+            mine = [g for g in got if g["doc_id"] == r["doc_id"] and g["payload_sha256"] == hashlib.sha256(p).hexdigest()]
+            assert mine and all((g["media_bytes"], g["media_sha256"], g["feature"]) == (len(form), hashlib.sha256(form).hexdigest(), media.byte_feature(p, len(chunks))) for g in mine)
     assert media.media_columns(empty).count() == 0
+    media.drop_tables(spark)
+
+
+def test_media_hot_chunks(spark, monkeypatch):
+    """Chunks and payloads that most rows have go the way of hot keys."""
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    rows = [(i, shared + str(i % 40)) for i in range(80)] + [(100 + i, "") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from trailmark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(media, "HOT_ROWS", 5)
+    got = {r["doc_id"]: (r["n_bytes"], r["payload_sha256"]) for r in media.media_columns(df).collect()}
+    assert got == {i: (len(t), hashlib.sha256(media.payload_of(t.encode())).hexdigest()) for i, t in rows}
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    from trailmark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    left = spark.createDataFrame([(i, None if i % 11 == 0 else "hot" if i % 2 else f"k{i % 17}") for i in range(200)], "i long, k string")
+    right = left.where("k is not null and k <> 'k4'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("v"))
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, left.join(right, "k", how).select("i", "k", "n", "v").collect()))
+        assert sorted(map(tuple, common.hot_join(left, right, "k", "n", how).select("i", "k", "n", "v").collect())) == want
+    several = right.join(spark.range(3))
+    want = sorted(map(tuple, left.join(several, "k").select("i", "k", "v", "id").collect()))
+    assert sorted(map(tuple, common.salted_join(left, several, "k", "n").select("i", "k", "v", "id").collect())) == want
+
+
+def test_components_settle(spark, monkeypatch):
+    from trailmark.llm import components
+
+    rounds = []
+    real = components.written
+    monkeypatch.setattr(components, "written", lambda df, name, **k: rounds.append(name) or real(df, name, **k))
+    path = [(i, i + 1) for i in range(10_000)]
+    star = [(20_000, 20_001 + i) for i in range(100_000)]
+    got = components.components(spark.createDataFrame(path + star + [(None, 1), (5, 5)], "u long, v long")).groupBy("root").count().collect()
+    assert sorted(r["count"] for r in got) == [10_001, 100_001] and sum(n.endswith("hooks") for n in rounds) < 25
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def test_chunks_follow_content():
@@ -261,18 +393,22 @@ def brute_pii(t):
     return ",".join(f"{pii.BASE[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
+def spans_and_model(df):
+    found = pii.written(pii.spanned(df.select("doc_id", "text")), "test")
+    return found, pii.train(found)
+
+
 def test_pii_base_spans(spark, docs, edge, empty):
     rng = random.Random(3)
     parts = ["1", "23", "4111111111111111", ".", " ", "-", "@", "a", "_", "+", "(", ")", "255", "300", "x.y", "é", "🙂"]
     odd = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(400)] + ["1 " * 20_000, "9" * 30_000, "a." * 20_000 + "@", "+" + "1 " * 9000]
     for df in (docs, edge, spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")):
-        model = pii.train(df)
-        got = pii.find(df.select("doc_id", "text"), model).select("text", pii.spelled(F.col("pii_base")).alias("b"), pii.spelled(F.col("pii_spans")).alias("s")).collect()
+        got = pii.accepted(*spans_and_model(df)).select("text", pii.spelled(F.col("pii_base")).alias("b"), pii.spelled(F.col("pii_spans")).alias("s")).collect()
         assert len(got) == df.count()
         for r in got:
             assert r["b"] == brute_pii(r["text"] or "")
             assert set(filter(None, r["b"].split(","))) <= set(r["s"].split(","))
-    assert pii.find(empty, pii.train(empty)).count() == 0
+    assert pii.find(empty).count() == 0 and pii.find(edge).count() == edge.count()
 
 
 def test_pii_addresses_with_zero_parts(spark):
@@ -280,19 +416,18 @@ def test_pii_addresses_with_zero_parts(spark):
     parts = ["0", "00", "000", "010", "1", "00255", "255", "256", "0256", "1000", "99"]
     odd = [" ".join(".".join(rng.choice(parts) for _ in range(rng.choice((4, 4, 4, 3, 5)))) for _ in range(6)) for _ in range(200)] + ["10.0.0.1", "at 192.168.0.1.", "0.0.0.0", "000.00.0.0", "0.0.0.256"]
     df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
-    got = pii.find(df, pii.train(df)).select("text", pii.spelled(F.col("pii_base")).alias("b")).collect()
+    got = pii.accepted(*spans_and_model(df)).select("text", pii.spelled(F.col("pii_base")).alias("b")).collect()
     assert len(got) == len(odd) and all(r["b"] == brute_pii(r["text"]) for r in got)
     assert {r["text"]: r["b"] for r in got}["10.0.0.1"] == "ip:0:8"
-    assert [r["text"] for r in pii.redact(df.where("doc_id = 200"), pii.train(df)).collect()] == ["[IP]"]
+    assert [r["text"] for r in pii.redact(df.where("doc_id = 200")).collect()] == ["[IP]"]
 
 
 def test_pii_redaction_and_added_spans(spark):
     texts = [f"call me: phone 555-{i:03d}-{1000 + i} or a{i}@b.example.org, order 123-456-{2000 + i}" for i in range(100, 200)]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, pii int")
-    model = pii.train(df)
-    found = pii.find(df, model).select(pii.spelled(F.col("pii_spans"))).first()[0]
+    found = pii.find(df).orderBy("doc_id").select(pii.spelled(F.col("pii_spans"))).first()[0]
     assert "local_phone:15:27" in found and "email" in found
-    out = pii.redact(df, model)
+    out = pii.redact(df)
     assert out.columns == df.columns and all("[LOCAL_PHONE]" in r["text"] and "[EMAIL]" in r["text"] and "@" not in r["text"] for r in out.collect())
 
 
@@ -323,7 +458,7 @@ def test_decontamination(spark, docs, edge, empty):
                 w2[i] = "changed"
             i = len(rows)
             rows.append((i, " ".join(say(40) + w2 + say(40)).capitalize() + "."))
-            enough = {0: len(w) >= 5, 1: len(w) >= 12, 4: len(w) >= 30}[changed]
+            enough = {0: True, 1: len(w) >= 12, 4: len(w) >= 30}[changed]
             if enough:
                 want.add((i, k))
     rows += [(100 + i, " ".join(say(300))) for i in range(30)] + [(200, None), (201, "")]
@@ -341,6 +476,44 @@ def test_decontamination(spark, docs, edge, empty):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def brute_overlaps(text, item):
+    """Best (n_agree, n_overlap, share) over all places of the item, or None if no window agrees enough."""
+    w, b = ([x for x in re.split(r"[^\w]+|_", t.lower()) if x] for t in (text, item))
+    best, size = None, min(len(b), 13)
+    need = size if size < 8 else -(-size * 8 // 10)
+    for start in range(-len(b) + 1, len(w)):
+        e = [int(w[start + k] == b[k]) for k in range(max(0, -start), min(len(b), len(w) - start))]
+        top = max((sum(e[k : k + size]) for k in range(len(e) - size + 1)), default=0)
+        if b and top >= need:
+            best = max(best or (0, 0, 0.0), (sum(e), len(e), top / size))
+    return best
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_brute(spark, monkeypatch, broadcast):
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    items = [say(n) for n in (1, 2, 4, 5, 6, 8, 12, 13, 14, 20, 40)]
+    rows = []
+    for w in items[3:] * 6:
+        v = list(w)
+        for i in rng.sample(range(len(v)), rng.choice((0, 1, 2, 3)) % len(v)):
+            v[i] = "other"
+        rows.append(" ".join(say(rng.randint(0, 20)) + v[rng.choice((0, 0, 3)) :] + say(rng.randint(0, 20))))
+    if not broadcast:
+        from trailmark.llm import common
+
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 4)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_agree"], r["n_overlap"], r["share"]) for r in decontaminate.contaminated(df, bench).collect()}
+    want = {(i, k): f for i, t in enumerate(rows) for k, w in enumerate(items) if (f := brute_overlaps(t, " ".join(w)))}
+    assert got.keys() == want.keys()
+    assert all(want[x][2] >= got[x][2] >= 0.8 and want[x][0] >= got[x][0] for x in got)
+
+
 # -- 9 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -407,11 +580,54 @@ def test_ngram_edges(spark, edge, empty):
 def test_grammar():
     m = toxicity.seed_model()
     pattern = lambda t: [p for p, _ in m.matches(t)]
-    assert pattern("You are an idiot.") == ["directed"] and pattern("What a moron he is") == ["plain"]
+    assert pattern("You are an idiot.") == ["directed"] and pattern("What a moron. The stupid thing") == ["alone", "repeated"]
     assert pattern("you are not an idiot") == ["denied"] and pattern("She said that clown was there") == ["reported"]
     assert pattern("I will kill you") == ["threat"] and pattern("kill the process") == [] and pattern("I will not kill you") == ["denied"]
     assert m.score("You idiot") > m.score("they said idiot") > m.score("hello there") == 0
-    assert m.score("You idiot. You moron!") > m.score("You idiot")
+    assert m.score("You idiot. You moron!") > m.score("You idiot") > m.score("You are such an utter idiot")
+    # A word that stands alone does not make a text toxic, however sure the lexicon is.
+    sure = toxicity.Model({"idiot": 1.0}, {}, {"directed": 0.99})
+    assert sure.score("what an idiot") < toxicity.CUT < sure.score("you idiot") and sure.score("idiot. idiot.") > toxicity.CUT
+
+
+def brute_patterns(m, text):
+    """What the composed machine should say, from the words before each word."""
+    said, insults = [], 0
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        w = toxicity._word(clause)
+        best = {}
+        for i, x in enumerate(w):
+            kind = m.symbol.get(x) or ("insult" if m.weights[x] else "other")
+            back = lambda k, n: next((d for d in range(1, n + 1) if i >= d and m.symbol.get(w[i - d]) == k), 0)  # noqa: B023, E731
+            if kind not in ("insult", "verb"):
+                continue
+            lead, target = back("lead", 3), back("target", 5)
+            if back("negation", 3):
+                out, strength = "denied", 1.0
+            elif back("report", 8):
+                out, strength = "reported", 1.0
+            elif kind == "verb" and lead:
+                out, strength = "threat", 0.9 ** (lead - 1)
+            elif kind == "verb":
+                continue
+            elif target:
+                out, strength = "directed", 0.95 ** (target - 1)
+            else:
+                out, strength = "repeated" if insults else "alone", 1.0
+            insults += out in ("directed", "alone", "repeated")
+            strength *= m.weights[x] if kind == "insult" else 1.0
+            best[out] = max(best.get(out, 0.0), strength)
+        said += best.items()
+    return said
+
+
+def test_grammar_brute():
+    m, rng = toxicity.seed_model(), random.Random(6)
+    words = ["idiot", "moron", "kill", "will", "you", "not", "said", "the", "house", "a", ".", "!", '"']
+    for _ in range(2000):
+        t = " ".join(rng.choice(words) for _ in range(rng.randint(1, 25)))
+        want = brute_patterns(m, t)
+        assert [p for p, _ in m.matches(t)] == [p for p, _ in want] and np.allclose([w for _, w in m.matches(t)], [w for _, w in want])
 
 
 def test_toxicity(spark, edge, empty):
@@ -450,5 +666,48 @@ def test_pipeline(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_and_odd_tables(spark, k):
+    """Null ids and texts, columns named like those that stages make, repeated rows, an empty table."""
+    import corpus_pipeline as p
+
+    name, stage = p.STAGES[k]
+    clashing = ["lang_accepted", "lang_pred", "lang_score", "pii_base", "pii_loose", "pii_spans", "trailmark_key", "key", "row", "id", "root", "grams", "n", "salt", "ids", "n_tokens"]
+    docs = table(spark, SF, "documents").limit(60).select("*", *(F.lit(f"mine {c}").alias(c) for c in clashing))
+    odd = docs.limit(1)
+    some = [(None, "word " * 30, "en"), (7001, None, "en"), (7002, "", None), (7003, "x" * 20_000, None), (7003, "x" * 20_000, None)]
+    more = [odd.withColumns({"doc_id": F.lit(i).cast("long"), "text": F.lit(t).cast("string"), "lang": F.lit(lang).cast("string")}) for i, t, lang in some]
+    for m in more:
+        docs = docs.unionByName(m)
+    docs = p.written(docs, "test")
+    out = p.written(stage(spark, docs, SF), "test")
+    last = k == len(p.STAGES) - 1
+    mine = [c for c in clashing if not (last and c in ("ids", "n_tokens"))]
+    assert out.where(F.lit(False) | ~F.expr(" and ".join(f"`{c}` = 'mine {c}'" for c in mine))).count() == 0
+    assert 0 < out.count() <= docs.count()
+    if not last:
+        assert out.columns == docs.columns
+    if name in ("personal data", "tokens"):
+        assert out.count() == docs.count()
+    if name == "near duplicates":
+        assert out.where("text is null or text = ''").count() == 2 and out.where("doc_id = 7003").count() == 1
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.columns == out.columns and empty.count() == 0
+
+
+def test_shared_folder_must_be_named(spark, monkeypatch):
+    from trailmark.llm import common
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_folder(Cluster(), "x")
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
