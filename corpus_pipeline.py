@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import pii
 from trailmark.llm.bpe import bpe_encode
-from trailmark.llm.common import table, written
+from trailmark.llm.common import deleted, scratch, shared_folder, table, written
 from trailmark.llm.decontaminate import clean_documents
 from trailmark.llm.language import accepted_documents
 from trailmark.llm.ngram_join import one_of_each_class
@@ -35,12 +35,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by marks."""
-    return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("long"))
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed unsigned 32-bit, little-endian) of each document."""
-    return bpe_encode(docs, tokenizer_path(), keep=("lang", "source", "n_chars"))
+    """Token ids (packed unsigned 32-bit, little-endian) of each document; other columns but the text are kept unless they have the names of the new ones."""
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "ids"))
+    return bpe_encode(docs, tokenizer_path(), keep=keep)
 
 
 STAGES = [
@@ -56,7 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order; what a stage wrote on its way, and its input once the next one is written, is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_folder(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path=path)
+        if before:
+            deleted(spark, before)
+        before = path
     return docs
