@@ -352,10 +352,13 @@ def test_components_settle(spark, monkeypatch):
     rounds = []
     real = components.written
     monkeypatch.setattr(components, "written", lambda df, name, **k: rounds.append(name) or real(df, name, **k))
+    monkeypatch.setattr(components, "FEW", 0)
     path = [(i, i + 1) for i in range(10_000)]
     star = [(20_000, 20_001 + i) for i in range(100_000)]
     got = components.components(spark.createDataFrame(path + star + [(None, 1), (5, 5)], "u long, v long")).groupBy("root").count().collect()
-    assert sorted(r["count"] for r in got) == [10_001, 100_001] and sum(n.endswith("hooks") for n in rounds) < 25
+    assert sorted(r["count"] for r in got) == [10_001, 100_001] and sum(n.endswith("hooks") for n in rounds) < 22
+    monkeypatch.setattr(components, "FEW", 3000)
+    assert [r["count"] for r in components.components(spark.createDataFrame(path, "u long, v long")).groupBy("root").count().collect()] == [10_001]
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -567,6 +570,34 @@ def test_ngram_classes(spark, tile):
     assert kept == {i for i, _ in data if want.get(i, (i,))[0] == i}
 
 
+def test_ngram_classes_of_a_whole_table(spark):
+    """Recall against brute force on sf0.01: the same classes, links and sizes."""
+    docs = table(spark, SF.replace("0.001", "0.01"), "documents")
+    sets, index, names = [], defaultdict(list), {}
+    for r in docs.select("doc_id", "text").collect():
+        w = re.findall(r"[^\W_]+", (r["text"] or "").lower())
+        if w:
+            names.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), []).append(r["doc_id"])
+    sets, members = list(names), list(names.values())
+    for k, s in enumerate(sets):
+        for g in s:
+            index[g].append(k)
+    shared = defaultdict(int)
+    for ks in index.values():
+        for a, b in combinations(ks, 2):
+            shared[a, b] += 1
+    want = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    links = defaultdict(int)
+    for a, b in want:
+        links[a] += 1
+        links[b] += 1
+    got = {r["doc_id"]: r for r in ngram_join.ngram_classes(docs).collect()}
+    assert want
+    found = sum(got[members[a][0]]["class_id"] == got[members[b][0]]["class_id"] for a, b in want)
+    assert found == len(want)
+    assert all(got[d]["n_links"] == links[k] for k, ds in enumerate(members) for d in ds)
+
+
 def test_ngram_edges(spark, edge, empty):
     assert ngram_join.ngram_classes(edge).count() == edge.count() and ngram_join.ngram_classes(empty).count() == 0
     assert ngram_join.one_of_each_class(edge).columns == edge.columns
