@@ -71,13 +71,13 @@ def span_flags(text: Column, spans: Column) -> Column:
     return flags(text_differs=wrong, out_of_order=F.when(F.size(spans) > 0, order))
 
 
-def segment_flags(segments: DataFrame, key: str, start: str, end: str, kind: str, sizes: DataFrame, size: str) -> DataFrame:
-    """Segments cover [0, size) without gap, with one arrival, at the end."""
+def segment_flags(segments: DataFrame, key: str, start: str, end: str, terminal: str, sizes: DataFrame, size: str) -> DataFrame:
+    """Segments cover [0, size) without gap, the last of them and no other is terminal."""
     w = Window.partitionBy(key).orderBy(start)
     s = segments.withColumn("_before", F.coalesce(F.lag(end).over(w), F.lit(0)))
-    g = s.groupBy(key).agg(F.bool_or(F.col(start) != F.col("_before")).alias("_gap"), F.max(end).alias("_end"), F.count_if(F.col(kind) == "arrival").alias("_arrivals"), F.max_by(kind, start).alias("_last"))
+    g = s.groupBy(key).agg(F.bool_or(F.col(start) != F.col("_before")).alias("_gap"), F.max(end).alias("_end"), F.count_if(terminal).alias("_ends"), F.max_by(terminal, start).alias("_last"))
     j = sizes.join(g, key, "left")
-    return j.select(key, flags(uncovered=F.col("_end").isNull() | (F.col("_end") != F.col(size)), gap=F.col("_gap"), arrivals=F.coalesce("_arrivals", F.lit(0)) != 1, last_is_no_arrival=F.col("_last") != "arrival").alias("flags"))
+    return j.select(key, flags(uncovered=F.col("_end").isNull() | (F.col("_end") != F.col(size)), gap=F.col("_gap"), not_one_terminal=F.coalesce("_ends", F.lit(0)) != 1, last_not_terminal=~F.col("_last")).alias("flags"))
 
 
 def missing_frames(frames: DataFrame, key: str, number: str) -> DataFrame:

@@ -6,6 +6,7 @@ Iterations write their tables to the shared folder, so a lost executor costs one
 from __future__ import annotations
 
 import heapq
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; a temporary folder where the session names none."""
+    """A new path in ``spark.checkpoint.dir``.  Only a session in one process that names none gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="trailmark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/trailmark-{name}-{uuid.uuid4().hex}"
@@ -31,27 +34,51 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, few: int = 100_000, most_rounds: int = 200) -> DataFrame:
     """Rows (node, root), root the least node of the component; ``edges`` has columns u, v of one comparable type.
 
-    Each round every node hooks to its least neighbour and edges are renamed; the edges shrink by at least half a round.
+    Each round every node hooks to one neighbour (or itself) and edges are renamed: to the least one in the first two rounds and
+    every fourth, which takes a star down at once, else to the one of least hash, and the hash is another one each
+    round, so no order of the ids can make rounds of little use: on a path, the worst case, about half of the nodes are left.
+    What a node hooks to is combined before it is shuffled, so a node with very many edges is no hot key.  At most ``few`` edges are
+    finished in one task.
     """
-    left = settled(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
-    labels = None
-    for _ in range(most_rounds):
-        if left.isEmpty():
+    left = settled(edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    hooks = []
+    for k in range(most_rounds):
+        if left.count() <= few:
             break
-        both = left.select(F.col("u").alias("node"), F.col("v").alias("to")).union(left.select("v", "u"))
-        hook = settled(both.groupBy("node").agg(F.min("to").alias("low")).select("node", F.least("node", "low").alias("to")), "hooks")
-        if labels is None:
-            labels = hook.select("node", F.col("to").alias("root"))
-        else:
-            labels = settled(labels.join(hook.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        rank = lambda c: F.lit(0).cast("long") if k < 2 or k % 4 == 1 else F.xxhash64(F.lit(k), c)  # noqa: B023, E731
+        ranked = lambda c: F.struct(rank(c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        both = left.select(F.col("u").alias("node"), F.col("v").alias("other")).union(left.select("v", "u"))
+        hook = settled(both.groupBy("node").agg(F.min(ranked("other")).alias("low")).select("node", F.least("low", ranked("node"))["to"].alias("to")), "hooks")
+        hooks.append(hook)
         renamed = left.join(hook.toDF("u", "a"), "u").join(hook.toDF("v", "b"), "v").where("a <> b")
         left = settled(renamed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
-    return labels if labels is not None else left.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    kind = left.schema["u"].dataType.simpleString()
+    labels = settled(left.coalesce(1).mapInPandas(_unite, f"node {kind}, root {kind}"), "labels")
+    for hook in reversed(hooks):
+        labels = settled(hook.join(labels.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root")), "labels")
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return labels.join(least, "root").select("node", F.col("least").alias("root"))
+
+
+def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Joins the ends of edges one by one."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for b in batches:
+        for u, v in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
+            x, y = sorted((top(u), top(v)))
+            up[y] = x
+    yield pd.DataFrame({"node": list(up), "root": [top(x) for x in list(up)]})
 
 
 def degrees(edges: DataFrame, node: str, neighbour: str, junction: int = 3) -> DataFrame:
@@ -120,7 +147,7 @@ def rejoin_distances(edges: DataFrame, scene: str) -> DataFrame:
     def f(name, adjacent):
         for node, around in adjacent.items():
             ends = sorted({v for v, _ in around if v != node})
-            for i, a in enumerate(ends):
+            for i, a in enumerate(ends if len(ends) >= 3 else ()):
                 far = _dijkstra(adjacent, a, node)
                 for b in ends[i + 1 :]:
                     yield name, node, a, b, far.get(b, float("inf"))
@@ -144,3 +171,86 @@ def coverage_seeds(edges: DataFrame, scene: str, most: int, radius: float) -> Da
                 return
 
     return per_scene(edges, scene, f"{scene} long, k int, seed long, gap double", f)
+
+
+def flood(adjacent: dict, height: dict, seeds: list) -> dict:
+    """The place in ``seeds`` of the seed that reaches each node over the highest lowest point; of equal ones the nearer, then the first."""
+    todo = [(-height[s], 0.0, k, s) for k, s in enumerate(seeds)]
+    heapq.heapify(todo)
+    label: dict = {}
+    while todo:
+        low, far, k, v = heapq.heappop(todo)
+        if v not in label:
+            label[v] = k
+            for u, w in adjacent.get(v, ()):
+                if u not in label:
+                    heapq.heappush(todo, (max(low, -height[u]), far + w, k, u))
+    return label
+
+
+def _borders(adjacent: dict, height: dict, label: dict) -> dict:
+    """(label, other label) -> (highest lower end of an edge between them, number of edges)."""
+    out: dict = {}
+    for v, around in adjacent.items():
+        for u, _ in around:
+            if label.get(v) != label.get(u) and v in label and u in label:
+                top, n = out.get((label[v], label[u]), (float("-inf"), 0))
+                out[label[v], label[u]] = max(top, min(height[v], height[u])), n + 1
+    return out
+
+
+def basins(adjacent: dict, height: dict, area: dict, radius: float, ratio: float, least_area: float) -> dict:
+    """Labels of a scene's nodes, which are numbered by their least node.
+
+    Seeds are the nodes with no higher neighbour and then the farthest ones until all are within ``radius`` of a seed.
+    Basins whose saddle is at least ``ratio`` of the higher summit are one; a basin under ``least_area`` joins the
+    neighbour with the highest saddle, then the most edges, then the least label.
+    """
+    seeds = [v for v in sorted(height) if all((height[u], -u) < (height[v], -v) for u, _ in adjacent.get(v, ()) if u != v)]
+    far = dict.fromkeys(height, float("inf"))
+    for v in seeds:
+        for u, d in _dijkstra(adjacent, v).items():
+            far[u] = min(far[u], d)
+    while (v := max(sorted(height), key=far.__getitem__)) not in seeds and far[v] > radius:
+        seeds.append(v)
+        for u, d in _dijkstra(adjacent, v).items():
+            far[u] = min(far[u], d)
+    label = flood(adjacent, height, seeds)
+    up = list(range(len(seeds)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for (a, b), (saddle, _) in _borders(adjacent, height, label).items():
+        if saddle >= ratio * max(height[seeds[a]], height[seeds[b]], 1e-6):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    label = {v: top(k) for v, k in label.items()}
+    changed = True
+    while changed:
+        changed = False
+        size: dict = {}
+        for v, k in label.items():
+            size[k] = size.get(k, 0.0) + area[v]
+        for k in sorted(k for k in size if size[k] < least_area):
+            around = {b: x for (a, b), x in _borders(adjacent, height, label).items() if a == k}
+            if around:
+                new = max(around, key=lambda b: (*around[b], -b))  # noqa: B023
+                label = {v: new if old == k else old for v, old in label.items()}
+                changed = True
+                break
+    number: dict = {}
+    return {v: number.setdefault(label[v], len(number)) for v in sorted(label)}
+
+
+def watershed(edges: DataFrame, nodes: DataFrame, scene: str, radius: float, ratio: float, least_area: float) -> DataFrame:
+    """Rows (scene, node, label) by :func:`basins` on each scene; ``nodes``: (scene, node, height, area), one row a node."""
+
+    def run(key, graph: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        height, area = (dict(zip(rows["node"].tolist(), rows[c].tolist(), strict=True)) for c in ("height", "area"))
+        found = basins(_adjacent(graph), height, area, radius, ratio, least_area)
+        return pd.DataFrame({scene: [key[0]] * len(found), "node": list(found), "label": list(found.values())}, columns=[scene, "node", "label"])
+
+    return edges.groupBy(scene).cogroup(nodes.groupBy(scene)).applyInPandas(run, f"{scene} long, node long, label int")

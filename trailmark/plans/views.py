@@ -84,11 +84,11 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- V6: conversations; V7: graph ----------------------------------------------------------------------------------------
 
-GRAPH_SQL = """edges as (select distinct l_suppkey as s, l_partkey as p from lineitem where l_quantity >= 49)"""
+GRAPH_SQL = """edges as (select distinct l_suppkey as s, l_partkey as p from lineitem)"""
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
 
 
 def joined(c: str, sep: str = ",") -> str:
