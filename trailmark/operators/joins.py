@@ -68,6 +68,18 @@ def last_within(points: DataFrame, key: str, at: str, back: float, order: str) -
     return reach.join(first, [key, "_reach"], "left").drop("_reach")
 
 
+def first_beyond(points: DataFrame, key: str, at: str, ahead: float, order: str) -> DataFrame:
+    """With ``after``: the place (``order``) of the first point whose ``at`` is above at + ahead, in the same key; of the last point where there is none.
+
+    A frame of a window holds its edge, so the greatest ``at`` within reach is found and the next greater one follows from it.
+    """
+    reach = points.withColumn("_reach", F.expr(f"max(`{at}`) over (partition by `{key}` order by `{at}` range between unbounded preceding and {float(ahead)}D following)"))
+    each = points.groupBy(key, F.col(at).alias("_reach")).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    w = Window.partitionBy(key).orderBy("_reach")
+    following = each.select(key, "_reach", F.coalesce(F.lead("_first").over(w), "_last").alias("after"))
+    return reach.join(following, [key, "_reach"], "left").drop("_reach")
+
+
 def owners(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, width: int = 4) -> DataFrame:
     """Points with each span [low, high) of their key that holds them; joined on buckets of ``width``."""
     s = spans.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))

@@ -85,11 +85,12 @@ def rejected_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select a.s_suppkey as a, b.s_suppkey as b, a.s_nationkey as island from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey where abs(a.s_acctbal - b.s_acctbal) <= 2000")
 def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered pairs of one island within a gate."""
+    """Ordered pairs of one island within a gate; joined on steps of the gate's width, so far pairs are not made."""
     s = V.table(spark, sf_dir, "supplier")
-    a = s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("island"), F.col("s_acctbal").alias("x"))
-    b = s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("island"), F.col("s_acctbal").alias("y"))
-    return a.join(b, "island").where((F.col("a") != F.col("b")) & (F.abs(F.col("x") - F.col("y")) <= 2000)).select("a", "b", "island")
+    step = F.floor(F.col("s_acctbal") / 2000)
+    a = s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("island"), F.col("s_acctbal").alias("x"), step.alias("step"))
+    b = s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("island"), F.col("s_acctbal").alias("y"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    return a.join(b, ["island", "step"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("x") - F.col("y")) <= 2000)).select("a", "b", "island")
 
 
 @query("""with r as (select s_nationkey as g, s_suppkey, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as i from supplier),
@@ -147,6 +148,15 @@ def asof_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.last_within(p, "label", "arc", 1.5, "vec_id").select("label", "vec_id", "before")
 
 
+@query(f"""with {V.POSES_SQL}, d as (select label, vec_id, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2) + power(z - lag(z) over w, 2)) as step from poses window w as (partition by label order by vec_id)),
+arcs as (select label, vec_id, coalesce(sum(step) over (partition by label order by vec_id), 0) as arc from d)
+select a.label, a.vec_id, coalesce((select min(b.vec_id) from arcs b where b.label = a.label and b.arc > a.arc + 1.5), (select max(b.vec_id) from arcs b where b.label = a.label)) as after from arcs a""")
+def asof_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first state more than a distance ahead, the last one where the path ends before."""
+    p = with_arc(V.poses(spark, sf_dir)).select("label", "vec_id", "arc")
+    return J.first_beyond(p, "label", "arc", 1.5, "vec_id").select("label", "vec_id", "after")
+
+
 @query(f"""{EP}, {RUNS_SQL}, pts as (select episode_id, unnest(generate_series(0, n - 1, 3)) as at from episodes)
 select p.episode_id, p.at::int as at, r.action from pts p join runs r on p.episode_id = r.episode_id and p.at >= r.s and p.at <= r.e""")
 def interval_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,10 +184,18 @@ def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.agg(F.count_if(F.col("f") == "jpg").alias("jpg"), F.count_if(F.col("f") == "png").alias("png"), F.count_if(F.col("f").isNull()).alias("none"))
 
 
-@query("select count(distinct r_regionkey) = count(*) as disjoint, count(distinct length(r_name) > 0) = 1 as same_parameters from region")
+_INPUTS = "select l_returnflag as input, l_orderkey as scene, l_linestatus as mode, l_linenumber as sensor from lineitem"
+
+
+@query(f"""with i as ({_INPUTS}), meta as (select input, list_sort(list(distinct mode)) as modes, list_sort(list(distinct sensor)) as sensors from i group by input), per as (select scene, count(distinct input) as n from i group by scene)
+select (select count(distinct (modes, sensors)) from meta) = 1 as same_parameters, max(n) = 1 as disjoint, count(*) filter (where n > 1) as shared_scenes, (select count(*) from meta) as inputs from per""")
 def merge_preconditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys disjoint, parameters equal."""
-    return V.table(spark, sf_dir, "region").agg((F.countDistinct("r_regionkey") == F.count(F.lit(1))).alias("disjoint"), (F.countDistinct(F.length("r_name") > 0) == 1).alias("same_parameters"))
+    """Before collections are merged their parameters must be equal as JSON and no scene may be in two of them; inputs are the rows of a return flag."""
+    i = V.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("input"), F.col("l_orderkey").alias("scene"), F.col("l_linestatus").alias("mode"), F.col("l_linenumber").alias("sensor"))
+    meta = i.groupBy("input").agg(F.to_json(F.struct(F.array_sort(F.collect_set("mode")).alias("modes"), F.array_sort(F.collect_set("sensor")).alias("sensors"))).alias("meta"))
+    same = meta.agg((F.countDistinct("meta") == 1).alias("same_parameters"), F.count(F.lit(1)).alias("inputs"))
+    per = i.groupBy("scene").agg(F.countDistinct("input").alias("n")).agg((F.max("n") == 1).alias("disjoint"), F.count_if(F.col("n") > 1).alias("shared_scenes"))
+    return same.join(per, F.lit(True)).select("same_parameters", "disjoint", "shared_scenes", "inputs")
 
 
 # -- set operations ------------------------------------------------------------------------------------------------------
