@@ -18,7 +18,16 @@ LANDMARK = (
 ROOM = (
     r"(?i)\b(?:bedroom|bathroom|kitchen|living room|dining room|hallway|corridor|foyer|entryway|closet|office|lobby|room|area|patio|balcony|porch)\b"
 )
-ARTIFACT = r"(?i)\bimage\b|\bpanorama\b|contact\s+sheet|\brow\s+\d+\b|\bstep\s+\d+\b|\bframe[_\s-]?\d+\b|\baction\s+sequence\b"
+ARTIFACTS = (
+    r"\bimage\b",
+    r"\bpanorama\b",
+    r"contact\s+sheet",
+    r"\brow\s+\d+\b",
+    r"\bstep\s+\d+\b",
+    r"\bframe[_\s-]?\d+\b",
+    r"\baction\s+sequence\b",
+)
+ARTIFACT = "(?i)" + "|".join(ARTIFACTS)
 PHRASES = {
     "starts_turn_left_or_right": r"^turn\s+(?:left|right)\b",
     "turn_left_and_walk": r"^turn\s+left\s+and\s+walk\b",
@@ -50,9 +59,10 @@ def sentences(t: Column) -> Column:
     return F.filter(F.split(t, "[.!?]+"), lambda x: F.trim(x) != "")
 
 
-def instruction_flags(text: Column, old: Column, runs: Column, least: int = 12, most: int = 120) -> Column:
-    """sorted names of the risks of a text, its source text and the runs of its actions."""
-    low, n = normalize(text), F.size(tokens(text))
+def instruction_flags(text: Column, old: Column, runs: Column, least: int = 12, most: int = 120, words: Column | None = None) -> Column:
+    """sorted names of the risks of a text, its source text and the runs of its actions; ``words`` are the text's tokens, if they were cut out before."""
+    words = tokens(text) if words is None else words
+    low, n = F.array_join(words, " "), F.size(words)
     first = F.get(runs, F.lit(0))
     sentence = F.get(F.split(F.lower(text), "[.!?]+"), F.lit(0))
     degrees = (first["end"] - first["start"] + 1) * TURN_DEGREES
@@ -64,7 +74,7 @@ def instruction_flags(text: Column, old: Column, runs: Column, least: int = 12,
         (normalize(old) == low, "identical_to_source"),
         (~F.rlike(text, F.lit(STOP)), "missing_explicit_stop"),
         (F.rlike(text, F.lit(ARTIFACT)), "data_artifact"),
-        (F.size(F.regexp_extract_all(low, F.lit(r"\bwalk forward\b"), F.lit(0))) >= 3, "repeated_walk_forward"),
+        (F.contains(low, F.lit("walk forward")) & (F.size(F.regexp_extract_all(low, F.lit(r"\bwalk forward\b"), F.lit(0))) >= 3), "repeated_walk_forward"),
         (F.rlike(low, F.lit(r"\bstop there$")), "vague_stop_there"),
         (F.rlike(text, F.lit(DANGLING)), "dangling_connector"),
         (F.rlike(text, F.lit("(?i)" + PHRASES["numeric_degrees"])), "numeric_turn_angle"),
@@ -134,3 +144,28 @@ def system_prompt(view: Column, horizon: int) -> Column:
 
 def user_prompt(instruction: Column, n_images: Column) -> Column:
     return F.concat(F.repeat(F.lit("<image>"), n_images.cast("int")), F.lit("\nInstruction ("), F.size(tokens(instruction)).cast("string"), F.lit(" words): "), instruction)
+
+
+# Words of an instruction that speak of the drawing over a video and not of the place.
+MARKERS = (
+    r"arrows?",
+    r"highlight(?:ed|ing)?",
+    "compass",
+    "video",
+    r"frame\s+\d+",
+    "camera",
+    r"S\d+",
+    r"d\d+",
+    "GT",
+    "badges?",
+    "markers?",
+    "marked",
+    "(?:gold|yellow|red|orange|marked|drawn) (?:line|route|path)",
+    r"(?:label|candidate) [A-Z]\b",
+)
+MARKER = rf"(?i)\b(?:{'|'.join(MARKERS)})\b"
+
+
+def speaks_of_markers(t: Column) -> Column:
+    """F7."""
+    return F.rlike(t, F.lit(MARKER))

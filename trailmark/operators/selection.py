@@ -15,13 +15,14 @@ def balanced_review(rows: DataFrame, key: str, flags: str, length: str, n: int)
     bounded by the number of flags times ``n``.
     """
     per = rows.select(key, length, F.explode(flags).alias("_f"))
-    w = Window.partitionBy("_f").orderBy(F.xxhash64(key), key)
+    mixed = F.md5(F.col(key).cast("string").cast("binary"))
+    w = Window.partitionBy("_f").orderBy(mixed, key)
     turn = per.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).groupBy(key, length).agg(F.min(F.struct("_r", "_f")).alias("_o"))
     first = turn.orderBy("_o", key).limit(n).select(key, F.lit(0).alias("_p"), F.col("_o._r").cast("long").alias("_r"))
-    deciles = rows.agg(F.percentile_approx(length, [i / 10 for i in range(1, 10)], 10_000)).first()[0] or []
+    deciles = rows.agg(F.percentile(length, [i / 10 for i in range(1, 10)])).first()[0] or []
     decile = sum((F.when(F.col(length) > d, 1).otherwise(0) for d in deciles), F.lit(0))
     rest = rows.join(first.select(key), key, "left_anti").select(key, decile.alias("_d"))
-    rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy("_d").orderBy(F.xxhash64(key), key)).cast("long")).where(F.col("_r") <= n)
+    rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy("_d").orderBy(mixed, key)).cast("long")).where(F.col("_r") <= n)
     filled = rest.orderBy("_r", "_d", key).limit(n).select(key, F.lit(1).alias("_p"), "_r")
     return first.unionByName(filled).orderBy("_p", "_r", key).limit(n).select(key)
 
@@ -38,6 +39,41 @@ def split_by_scene(rows: DataFrame, scene: str, parts: int) -> DataFrame:
     return rows.join(c.select(scene, part.alias("part")), scene)
 
 
+def scene_offset(scene: Column, n: int) -> Column:
+    """The MD5 of a scene's name, as a number, modulo ``n``; from its four 32-bit parts, as no column holds 128 bits."""
+    out, digest = F.lit(0).cast("bigint"), F.md5(scene.cast("binary"))
+    for k in range(4):
+        out = F.pmod(out * F.lit(1 << 32) + F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint"), F.lit(n).cast("bigint"))
+    return out
+
+
+def fill_subsets(rows: DataFrame, key: str, scene: str, n: int, size: int, eligible: Column | None = None) -> DataFrame:
+    """The eligible rows in order of ``key``, each in the first of ``n`` subsets that has room, from its scene's offset and number of rows before it on.
+
+    A row is only left out when all subsets are full, so the rows that are assigned are the first n * size: one task sees those,
+    as (key, scene, offset), and no others.
+    """
+    import pandas as pd
+
+    kept = rows if eligible is None else rows.where(eligible)
+    first = kept.select(F.col(key).alias("_key"), F.col(scene).alias("_scene"), scene_offset(F.col(scene), n).alias("_offset")).orderBy("_key").limit(n * size)
+
+    def run(batches):
+        room, seen = [size] * n, {}
+        for b in batches:
+            picks = []
+            for s, offset in zip(b["_scene"], b["_offset"], strict=True):
+                start = offset + seen.get(s, 0)
+                subset = next(k % n for k in range(start, start + n) if room[k % n])
+                room[subset] -= 1
+                seen[s] = seen.get(s, 0) + 1
+                picks.append(subset)
+            yield pd.DataFrame({key: b["_key"], "subset": picks})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return first.coalesce(1).sortWithinPartitions("_key").mapInPandas(run, f"`{key}` {kind}, subset int")
+
+
 def mixture(oracle: Column, policy: Column, beta: float, *seed: Column) -> Column:
     """Whose queue is run: the oracle's with probability beta, where it begins with a stop, or where lengths differ."""
     from ..functions.hashing import stable_keep

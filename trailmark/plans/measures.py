@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..functions import hashing as H
 from ..functions import statistics as S
 from ..functions import text as X
+from ..operators import reports as R_
 from . import views as V
 from .registry import query
 from .sequences import EP, RUNS_SQL
@@ -106,7 +107,7 @@ def distinct_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 select source, count(distinct t) as distinct_texts, round(count(distinct t)::double / count(*), 9) as rate from n group by source""")
 def unique_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10."""
-    n = _T(spark, sf_dir, "documents").select("source", F.xxhash64(X.normalize(F.col("text"))).alias("t"), F.lit(1).alias("one"))
+    n = _T(spark, sf_dir, "documents").select("source", F.sha2(X.normalize(F.col("text")).cast("binary"), 256).alias("t"), F.lit(1).alias("one"))
     return n.groupBy("source").agg(F.countDistinct("t").alias("distinct_texts"), F.round(F.countDistinct("t") / F.count("one"), 9).alias("rate"))
 
 
@@ -122,10 +123,13 @@ _PHRASE_SQL = " union all ".join(f"select '{k}' as phrase, round(100 * avg(regex
 
 @query(_PHRASE_SQL)
 def phrase_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass, then unpivoted."""
+    """One pass, then unpivoted.  A pattern is only tried on texts that hold the letters it needs."""
     low = F.lower("text")
     every = {**X.PHRASES, "landmark": X.LANDMARK, "room": X.ROOM, "stop": X.STOP}
-    r = _T(spark, sf_dir, "documents").agg(*(F.round(F.avg(F.rlike(low, F.lit(v)).cast("int")) * 100, 6).alias(k) for k, v in every.items()))
+    needs = {"starts_turn_left_or_right": "turn", "turn_left_and_walk": "turn", "turn_right_and_walk": "turn", "walk_forward": "walk", "continue_straight": "continue", "proceed_forward": "proceed", "pass_or_past": "pas", "stop_near_the": "near the", "turn_around": "turn", "numeric_degrees": "degree"}
+    hit = lambda k, v: F.rlike("low", F.lit(v)) if k not in needs else F.contains("low", F.lit(needs[k])) & F.rlike("low", F.lit(v))
+    d = _T(spark, sf_dir, "documents").select(low.alias("low"))
+    r = d.agg(*(F.round(F.avg(hit(k, v).cast("int")) * 100, 6).alias(k) for k, v in every.items()))
     return r.select(F.inline(F.array(*(F.struct(F.lit(k).alias("phrase"), F.col(k).alias("pct")) for k in every))))
 
 
@@ -166,18 +170,51 @@ def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("l_orderkey", F.round("dirty", 6).alias("dirty"), F.round("severe", 6).alias("severe"), remove.alias("remove"), F.concat_ws(",", *(F.when(F.col(c) >= v, n) for c, v, n in why)).alias("reasons"))
 
 
-@query("select source, lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by rollup (source, lang)")
-def shard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by scene with totals."""
-    return _T(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+# Scenes of a collection: a supplier's lines of one number.  Regions are parts, connections orders, junctions parts sold twice; five lines that were not returned are a trajectory.
+_LINES_SQL = "lines as (select l_suppkey * 10 + l_linenumber as scene, * from lineitem)"
+_SCENES_SQL = f"""{_LINES_SQL}, counts as (select scene, l_partkey, count(*) as k from lines group by 1, 2),
+parts as (select scene, count(*) as regions, count(*) filter (where k >= 2) as junctions from counts group by scene),
+scenes as (select scene, any_value(regions) as regions, count(distinct l_orderkey) as connections, any_value(junctions) as junctions, count(*) filter (where l_quantity > 48) as relations,
+  count(distinct case when l_quantity > 40 and l_tax < 0.02 then l_partkey end) as route_groups, count(*) filter (where l_quantity > 30 and l_tax < 0.01) as verified, count(*) filter (where l_quantity > 25 and l_discount < 0.01) as eligible,
+  count(*) filter (where l_returnflag <> 'R') // 5 as trajectories from lines join parts using (scene) group by scene)"""
+_LADDER = (("junctions = 0", "no_region_graph_junction"), ("relations = 0", "junctions_fail_decision_geometry_or_visibility"), ("route_groups = 0", "valid_relations_not_used_by_natural_shortest_paths"), ("verified = 0", "natural_routes_fail_primitive_replay_verification"), ("eligible = 0", "replayed_routes_fail_quality_gates"), ("trajectories < 10", "valid_but_structurally_sparse"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _T(spark, sf_dir, "lineitem").withColumn("scene", F.col("l_suppkey") * 10 + F.col("l_linenumber"))
 
 
-@query("select source, case when count(*) = 0 then 'empty' when count(distinct lang) < 4 then 'few_languages' when avg(n_chars) < 2000 then 'short' when count(*) filter (where n_chars > 10000) > 3 then 'long_tail' else 'ok' end as diagnosis from documents group by source")
+def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _lines(spark, sf_dir)
+    parts = li.groupBy("scene", "l_partkey").agg(F.count(F.lit(1)).alias("k")).groupBy("scene").agg(F.count(F.lit(1)).alias("regions"), F.count_if(F.col("k") >= 2).alias("junctions"))
+    q, t = F.col("l_quantity"), F.col("l_tax")
+    rows = li.groupBy("scene").agg(
+        F.countDistinct("l_orderkey").alias("connections"), F.count_if(q > 48).alias("relations"), F.countDistinct(F.when((q > 40) & (t < 0.02), F.col("l_partkey"))).alias("route_groups"),
+        F.count_if((q > 30) & (t < 0.01)).alias("verified"), F.count_if((q > 25) & (F.col("l_discount") < 0.01)).alias("eligible"), F.floor(F.count_if(F.col("l_returnflag") != "R") / 5).alias("trajectories"),
+    )
+    return parts.join(rows, "scene")
+
+
+@query(f"with {_SCENES_SQL} select scene, case {' '.join(f'when {c} then {chr(39)}{n}{chr(39)}' for c, n in _LADDER)} else 'healthy' end as outcome, round(trajectories / greatest(1, route_groups)::double, 9) as retention from scenes")
 def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A18."""
-    d = _T(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("langs"), F.avg("n_chars").alias("mean"), F.count_if(F.col("n_chars") > 10000).alias("long"))
-    case = F.when(F.col("n") == 0, "empty").when(F.col("langs") < 4, "few_languages").when(F.col("mean") < 2000, "short").when(F.col("long") > 3, "long_tail").otherwise("ok")
-    return d.select("source", case.alias("diagnosis"))
+    """The first rung of the ladder that a scene's counters do not pass; A17: the share of its route groups that are kept."""
+    s = _scenes(spark, sf_dir)
+    return s.select("scene", R_.outcome().alias("outcome"), F.round(R_.retention("trajectories", "route_groups"), 9).alias("retention"))
+
+
+@query(f"""with {_SCENES_SQL}, judged as (select *, case {' '.join(f'when {c} then {chr(39)}{n}{chr(39)}' for c, n in _LADDER)} else 'healthy' end as outcome from scenes),
+eps as (select scene, l_linenumber as decisions, l_extendedprice as length from lines where l_returnflag <> 'R'),
+ranked as (select trajectories, row_number() over (order by trajectories) - 1 as i, count(*) over () as n from scenes)
+select 'total' as part, unnest(['scenes', 'regions', 'connections', 'route_groups', 'episodes']) as key, unnest([count(*), sum(regions), sum(connections), sum(route_groups), (select count(*) from eps)])::double as value from scenes
+union all select 'decisions', decisions::varchar, count(*) from eps group by decisions union all select 'outcome', outcome, count(*) from judged group by outcome
+union all select 'length', unnest(['minimum', 'median', 'p90', 'maximum', 'mean']), round(unnest([min(length), quantile_cont(length, 0.5), quantile_cont(length, 0.9), max(length), avg(length)]), 6) from eps
+union all select 'per_scene', unnest(['minimum', 'maximum', 'mean']), round(unnest([min(trajectories), max(trajectories), (select count(*) from eps) / greatest(1, count(*))]), 6) from scenes
+union all select 'per_scene', k, max(trajectories) filter (where i = floor((n - 1) * f)) from ranked, (values ('p10', 0.1), ('p25', 0.25), ('median', 0.5), ('p75', 0.75), ('p90', 0.9)) v(k, f) group by k
+union all select 'unreconciled', 'scenes', (select count(*) from (select scene, count(*) as n from eps group by scene) e full join scenes s using (scene) where coalesce(e.n, 0) // 5 <> coalesce(s.trajectories, 0))""")
+def shard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report (part, key, value) of all scenes: totals, histograms, outcomes, lengths, trajectories by scene, and scenes whose counts disagree."""
+    e = _lines(spark, sf_dir).where("l_returnflag <> 'R'").select("scene", F.col("l_linenumber").alias("decisions"), F.col("l_extendedprice").alias("length"))
+    return R_.collection_report(_scenes(spark, sf_dir), e, 5)
 
 
 @query(f"""{EP}, two as (select user_id, max(actions) filter (where k = 0) as p, max(actions) filter (where k = 1) as t from episodes group by user_id),
@@ -287,13 +324,34 @@ def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy("rn", "source").limit(64).select("doc_id", "source", "n_chars")
 
 
-@query(f"""with s as (select source, ({H.sql_number("'9'", "source")} % 10)::bigint as off from (select distinct source from documents)),
-r as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as seen from documents) select doc_id, ((off + seen) % 10)::int as subset from r join s using (source)""")
+def _md5_mod(text: str, n: int) -> str:
+    """SQL: the MD5 of a text, as a number, modulo n, from its four 32-bit parts."""
+    out = "0"
+    for k in range(4):
+        out = f"((({out})::bigint * 4294967296 + ('0x' || substr(md5({text}), {8 * k + 1}, 8))::bigint) % {n})"
+    return out
+
+
+@query(f"""with recursive r as (select doc_id, source, row_number() over (order by doc_id) as i, row_number() over (partition by source order by doc_id) - 1 as seen, {_md5_mod('source', 7)} as off from documents),
+picks(i, doc_id, subset, counts) as (select 0, null::bigint, null::bigint, [0, 0, 0, 0, 0, 0, 0]
+ union all select r.i, r.doc_id, s, list_transform(counts, lambda c, k: c + (k - 1 = s)::int) from picks p join r on r.i = p.i + 1, lateral (select list_filter(list_transform(generate_series(0, 6), lambda t: (off + seen + t) % 7), lambda k: counts[k + 1] < 15)[1] as s) where r.i <= 105)
+select doc_id, subset::int as subset from picks where doc_id is not null""")
 def subset_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subset = hashed offset of the scene plus the number of its rows before, modulo N (no capacity is exceeded)."""
+    """Seven subsets of fifteen rows, filled in order; a row goes to the first subset with room from its scene's hashed offset on."""
+    from ..operators.selection import fill_subsets
+
+    return fill_subsets(_T(spark, sf_dir, "documents"), "doc_id", "source", 7, 15)
+
+
+@query(f"""with s as (select source, {_md5_mod('source', 10)} as off from (select distinct source from documents)),
+r as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as seen from documents) select doc_id, ((off + seen) % 10)::int as subset from r join s using (source)""")
+def subset_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 without a capacity, over all rows: the hashed offset of the scene plus the number of its rows before, modulo N."""
+    from ..operators.selection import scene_offset
+
     w = Window.partitionBy("source").orderBy("doc_id")
     d = _T(spark, sf_dir, "documents").select("doc_id", "source", (F.row_number().over(w) - 1).alias("seen"))
-    return d.select("doc_id", F.pmod(H.stable_index(10, "9", F.col("source")) + F.col("seen"), F.lit(10)).cast("int").alias("subset"))
+    return d.select("doc_id", F.pmod(scene_offset(F.col("source"), 10) + F.col("seen"), F.lit(10)).cast("int").alias("subset"))
 
 
 @query("select doc_id, ((row_number() over (order by doc_id) - 1 - 100) % 4)::int as shard from documents qualify row_number() over (order by doc_id) between 101 and 500")
@@ -323,18 +381,31 @@ def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- text ----------------------------------------------------------------------------------------------------------------
 
 
-@query("""with t as (select doc_id, text, array_to_string(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), ' ') as low, len(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) as n from documents)
-select doc_id, concat_ws(',', case when regexp_matches(text, '(?i)\\bimage\\b|\\bpanorama\\b|contact\\s+sheet|\\brow\\s+\\d+\\b|\\bstep\\s+\\d+\\b|\\bframe[_\\s-]?\\d+\\b|\\baction\\s+sequence\\b') then 'data_artifact' end,
-  case when regexp_matches(text, '(?i)\\b(?:and|or|to|toward|towards|with|where|near|by)\\s*[.!?]') then 'dangling_connector' end,
-  case when not regexp_matches(text, '(?i)(?:\\b(?:stop|stopping|wait|halt|finish|stand|remain)\\b|\\b(?:route|path|navigation)\\s+ends?\\b|\\b(?:this|that)\\s+(?:is|marks)\\s+(?:the\\s+)?end\\b)') then 'missing_explicit_stop' end,
-  case when n > 120 then 'too_long' end, case when n < 12 then 'too_short' end) as flags, n as words, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(s) <> '')) as sentences from t""".replace("\\\\", "\\"))
+# A text's source is the text of the document before it where the number can be divided by 50, and its first run of actions follows from the number; most texts
+# have words put before them, so that each flag has rows with and without it.
+_LEADS = ("", "Turn around. ", "Please turn right now. ", "Walk forward. Walk forward. Walk forward. ", "Go 90 degrees to. ", "Turn left as the image shows. ")
+_AUDIT_SQL = f"""s as (select doc_id, ([{', '.join(f"'{x}'" for x in _LEADS)}])[doc_id % 6 + 1] || case when doc_id % 7 = 0 then '' when doc_id % 7 = 1 then 'Stop there.' else text end as text, doc_id % 3 + 1 as action, doc_id % 11 + 1 as size, doc_id % 4 = 0 as no_run,
+  case when doc_id % 50 = 0 then null else '-' end as old from documents),
+t as (select *, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') as w, array_to_string(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), ' ') as low, split_part(regexp_replace(lower(text), '[.!?]+', chr(1), 'g'), chr(1), 1) as first from s)"""
+
+
+@query(f"""with {_AUDIT_SQL} select doc_id, concat_ws(',', case when regexp_matches(text, '{X.DANGLING}') then 'dangling_connector' end,
+  case when regexp_matches(text, '{X.ARTIFACT}') then 'data_artifact' end, case when old is null or low = '' then 'identical_to_source' end, case when not regexp_matches(text, '{X.STOP}') then 'missing_explicit_stop' end,
+  case when regexp_matches(text, '(?i){X.PHRASES["numeric_degrees"]}') then 'numeric_turn_angle' end,
+  case when not no_run and size * 15 >= 30 and (action = 2 and regexp_matches(first, '\\bturn\\s+right\\b') or action = 3 and regexp_matches(first, '\\bturn\\s+left\\b')) then 'opposite_initial_turn' end,
+  case when len(regexp_extract_all(low, '\\bwalk forward\\b')) >= 3 then 'repeated_walk_forward' end, case when len(w) > 120 then 'too_long' end, case when len(w) < 12 then 'too_short' end,
+  case when not no_run and regexp_matches(first, '^(?:please\\s+)?(?:turn around|turn back|make a u-turn)\\b') and (action = 1 or size * 15 < 120) then 'unsupported_initial_turn_around' end,
+  case when regexp_matches(low, '\\bstop there$') then 'vague_stop_there' end) as flags, len(w) as words, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x) <> '')) as sentences from t""")
 def instruction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, F2, F3, P7."""
-    t = F.col("text")
-    none = F.lit(None).cast("array<struct<action:int,start:int,end:int>>")
-    return _T(spark, sf_dir, "documents").select(
-        "doc_id", F.array_join(X.instruction_flags(t, F.lit("-"), none), ",").alias("flags"), F.size(X.tokens(t)).cast("long").alias("words"), F.size(X.sentences(t)).cast("long").alias("sentences")
-    )
+    """All flags of each text."""
+    i, t = F.col("doc_id"), F.col("text")
+    lead = F.get(F.array(*map(F.lit, _LEADS)), (i % 6).cast("int"))
+    said = F.concat(lead, F.when(i % 7 == 0, "").when(i % 7 == 1, "Stop there.").otherwise(t))
+    run = F.array(F.struct((i % 3 + 1).cast("int").alias("action"), F.lit(0).alias("start"), (i % 11).cast("int").alias("end")))
+    d = _T(spark, sf_dir, "documents").select("doc_id", said.alias("text"), F.when(i % 4 != 0, run).alias("runs"))
+    old = F.when(i % 50 == 0, t).otherwise("-")
+    w = d.withColumn("w", X.tokens(t))
+    return w.select("doc_id", F.array_join(X.instruction_flags(t, old, F.col("runs"), words=F.col("w")), ",").alias("flags"), F.size("w").cast("long").alias("words"), F.size(X.sentences(t)).cast("long").alias("sentences"))
 
 
 @query("""select conv_id, array_to_string(list_transform(regexp_extract_all(lower(said), '\\b(?:forward|left|right|stop)\\b')[1:18], lambda x: case x when 'forward' then '1' when 'left' then '2' when 'right' then '3' else '0' end), ',') as actions

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import selection as S
 from ..streaming import machines
 from . import views as V
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 from .sequences import EP
 
 _T = V.table
@@ -28,12 +28,21 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("l_orderkey", F.size("s").cast("long").alias("n_points"), "n_known", V.text(F.col("s.size")).alias("path"))
 
 
-@query(None)
+_RARE = ("opposite_initial_turn", "vague_stop_there", "repeated_walk_forward")
+
+
+@query(f"""with audit as ({ORACLES['instruction_audit']}), f as (select doc_id, unnest(list_filter(string_split(flags, ','), lambda x: x in {_RARE})) as flag from audit),
+turn as (select doc_id, flag, row_number() over (partition by flag order by md5(doc_id::varchar), doc_id) as r from f),
+one as (select doc_id, r, flag from turn qualify row_number() over (partition by doc_id order by r, flag) = 1), first as (select doc_id, 0 as p, r from one order by r, flag, doc_id limit 300),
+cuts as (select quantile_cont(n_chars, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as q from documents),
+rest as (select doc_id, len(list_filter(q, lambda x: n_chars > x)) as d, row_number() over (partition by len(list_filter(q, lambda x: n_chars > x)) order by md5(doc_id::varchar), doc_id) as r from documents, cuts where doc_id not in (select doc_id from first)),
+filled as (select doc_id, 1 as p, r from rest order by r, d, doc_id limit 300)
+select doc_id from (select * from first union all select * from filled) order by p, r, doc_id limit 300""")
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T6."""
-    none = F.lit(None).cast("array<struct<action:int,start:int,end:int>>")
-    d = _T(spark, sf_dir, "documents").select("doc_id", "n_chars", X.instruction_flags(F.col("text"), F.lit("-"), none).alias("flags"))
-    return S.balanced_review(d, "doc_id", "flags", "n_chars", 60)
+    """Rows in turn by rare flags of the audit, filled up evenly over length deciles."""
+    rare = F.filter(F.split("flags", ","), lambda x: x.isin(*_RARE))
+    d = QUERIES["instruction_audit"](spark, sf_dir).select("doc_id", rare.alias("flags")).join(_T(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return S.balanced_review(d, "doc_id", "flags", "n_chars", 300)
 
 
 @query("""with c as (select source, count(*) as c from documents group by source), m as (select source, sum(c) over (order by source) - c / 2.0 as mid, sum(c) over () as n from c)
@@ -101,17 +110,23 @@ def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _T(spark, sf_dir, "embeddings").withColumn("px", px).select("vec_id", *(F.round(c, 9).alias(k) for k, c in s.items()), F.round(seen, 9).alias("visible"))
 
 
-@query(None)
+@query(f"""with {V.POSES_SQL}, pairs as (select p.vec_id, t.vec_id as triangle, p.x - t.x as u, p.y - t.y as h, p.z - t.z as v from poses p join poses t on p.label >= 5 and t.label < 5),
+b as (select *, greatest(0, least(1, ((u - 0.1) * -0.1 + v * 0.1) / 0.02)) as t from pairs),
+d as (select vec_id, triangle, sqrt(h * h + case when u >= 0 and v >= 0 and u + v <= 0.1 then 0 else least(power(u - greatest(0, least(0.1, u)), 2) + v * v, u * u + power(v - greatest(0, least(0.1, v)), 2), power(u - 0.1 + 0.1 * t, 2) + power(v - 0.1 * t, 2)) end) as distance from b)
+select vec_id, arg_min(triangle, (distance, triangle)) as triangle, round(min(distance), 9) as distance from d where distance <= 0.2 group by vec_id""")
 def located_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest triangle of each pose; triangles stand at poses of other labels.  Tests hold it against brute force."""
+    """The nearest triangle of each pose; triangles lie flat at poses of other labels."""
     p = V.poses(spark, sf_dir)
     t = p.where("label < 5").select(F.col("vec_id").alias("triangle"), *(F.col(k).alias(f"a{k}") for k in "xyz"), *((F.col(k) + F.lit(0.1 if k == "x" else 0.0)).alias(f"b{k}") for k in "xyz"), *((F.col(k) + F.lit(0.1 if k == "z" else 0.0)).alias(f"c{k}") for k in "xyz"))
-    return S.locate(p.where("label >= 5"), t, "vec_id", "triangle", 0.2, 0.25)
+    return S.locate(p.where("label >= 5"), t, "vec_id", "triangle", 0.2, 0.25).withColumn("distance", F.round("distance", 9))
 
 
-@query(None)
+@query(f"""with recursive {V.POSES_SQL}, nodes as (select k as node, 0.15 * (k % 4 - 1.5) as nx, 0.15 * (k // 4 - 1.0) as nz from (select unnest(generate_series(0, 11)) as k)),
+near as (select a.node as at, b.node, b.nx, b.nz from nodes a join nodes b on abs(a.nx - b.nx) + abs(a.nz - b.nz) < 0.16), p as (select label, vec_id, x, z, row_number() over (partition by label order by vec_id) as i from poses),
+walk(label, vec_id, i, node) as (select label, vec_id, i, (select arg_min(node, (power(nx - x, 2) + power(nz - z, 2), node)) from nodes) from p where i = 1
+ union all select p.label, p.vec_id, p.i, (select arg_min(n.node, (power(nx - p.x, 2) + power(nz - p.z, 2), n.node)) from near n where n.at = w.node) from walk w join p on p.label = w.label and p.i = w.i + 1) select label, vec_id, node from walk""")
 def tracked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node of a small ring that each label's walker is at."""
+    """The node of a small grid that each label's walker is at."""
     nodes = {k: (0.15 * (k % 4 - 1.5), 0.15 * (k // 4 - 1.0)) for k in range(12)}
     near = {k: [j for j in nodes if j != k and abs(nodes[j][0] - nodes[k][0]) + abs(nodes[j][1] - nodes[k][1]) < 0.16] for k in nodes}
     return machines.batch(V.poses(spark, sf_dir), "label", ["vec_id"], ["x", "z"], lambda: machines.NodeTracker(nodes, near), "node long")
