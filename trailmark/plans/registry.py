@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that register queries.
-MODULES = ("sequences", "joining", "measures", "structures", "more")
+MODULES = ("sequences", "joining", "measures", "structures", "more", "records")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
