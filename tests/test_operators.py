@@ -145,12 +145,121 @@ def test_dtw_brute():
         assert segments.dtw(a, b) == pytest.approx(slow(a, b))
 
 
-def test_segments_own_every_action():
-    for n in range(1, 12):
-        for d in ([], [0], [n - 1], [2, 3, 8], list(range(n))):
-            s = segments.segment([1] * n, d)
-            assert s[0][0] == 0 and s[-1][1] == n and s[-1][2] == "arrival" and all(x[1] == y[0] for x, y in zip(s, s[1:], strict=False))
-    assert segments.segment([], [1]) == []
+def slow_track(actions):
+    """States of a walk of 0.25 m a move and 15 degrees a turn."""
+    x = z = yaw = 0.0
+    out = [(x, z, yaw)]
+    for a in actions:
+        yaw += {2: 15.0, 3: -15.0}.get(a, 0.0)
+        if a == 1:
+            x, z = x + 0.25 * math.sin(math.radians(yaw)), z - 0.25 * math.cos(math.radians(yaw))
+        out.append((x, z, yaw))
+    p = np.array(out)
+    return segments.Track(np.stack([p[:, 0], np.zeros(len(p)), p[:, 1]], axis=1), p[:, 2])
+
+
+def cut(actions, decided=(), gates=segments.Gates()):
+    t = slow_track(actions)
+    return [(s["seg_start"], s["seg_end"], s["kinds"], s["decisions"]) for s in segments.segment(actions, t, [(i, t.positions[min(i + 2, t.last)]) for i in decided], gates)]
+
+
+def test_segments_worked_examples():
+    forward = lambda n: [1] * n
+    # Nothing happens: a transit, and the last 1.5 m as the arrival; a short walk is an arrival only.
+    assert cut([*forward(20), 0]) == [(0, 14, "transit", []), (14, 21, "arrival,transit", [])]
+    assert cut([*forward(5), 0]) == [(0, 6, "arrival,transit", [])]
+    # A turn of 45 degrees (three actions at 10 m) with half a metre before and after it; 30 degrees are none.
+    assert cut([*forward(40), 2, 2, 2, *forward(40), 0]) == [(0, 38, "transit", []), (38, 46, "transit,turn", []), (46, 77, "transit", []), (77, 84, "arrival,transit", [])]
+    assert [k for *_, k, _ in cut([*forward(40), 2, 2, *forward(40), 0])] == ["transit", "arrival,transit"]
+    # Left, then right at once: the heading swings although it ends as it began.
+    assert "turn" in cut([*forward(40), 2, 2, 2, 3, 3, 3, *forward(40), 0])[1][2]
+    # A decision owns its approach and settling; too short a transit joins what follows it.
+    got = cut([*forward(60), 0], [20])
+    assert got == [(0, 16, "transit", []), (16, 27, "decision", [0]), (27, 54, "transit", []), (54, 61, "arrival,transit", [])]
+    assert cut([*forward(60), 0], [6])[0] == (0, 13, "decision", [0])
+    # Two decisions whose windows meet are one event, cut where the first has settled if the second comes later.
+    assert [s for s in cut([*forward(60), 0], [20, 30]) if s[3]] == [(16, 27, "decision", [0]), (27, 37, "decision", [1])]
+    assert [s for s in cut([*forward(60), 0], [20, 24]) if s[3]] == [(16, 31, "decision", [0, 1])]
+    with pytest.raises(ValueError, match="off the route"):
+        t = slow_track([1, 1, 0])
+        segments.segment([1, 1, 0], t, [(0, np.array([9.0, 0.0, 0.0]))])
+    with pytest.raises(ValueError, match="one state more"):
+        segments.segment([1, 1], slow_track([1]), [])
+
+
+def test_segments_own_every_action_and_decision():
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        actions = [int(a) for a in rng.choice([1, 1, 1, 2, 3], rng.integers(1, 90))] + [0]
+        decided = sorted(int(i) for i in rng.choice(len(actions), min(len(actions), int(rng.integers(0, 5))), replace=False))
+        s = cut(actions, decided)
+        assert s[0][0] == 0 and s[-1][1] == len(actions) and "arrival" in s[-1][2] and not any("arrival" in x[2] for x in s[:-1])
+        assert all(x[1] == y[0] and x[0] < x[1] for x, y in zip(s, s[1:], strict=False))
+        assert [k for x in s for k in x[3]] == list(range(len(decided)))
+    # The window functions against plain loops.
+    for _ in range(100):
+        t = slow_track([int(a) for a in rng.choice([1, 2, 3], 30)])
+        for i in range(len(t.arc)):
+            d = float(rng.random() * 3)
+            before = max((t.arc[j] for j in range(i + 1) if t.arc[j] <= t.arc[i] - d), default=t.arc[0])
+            assert t.back(i, d) == next(j for j in range(len(t.arc)) if t.arc[j] == before)
+            assert t.ahead(i, d) == next((j for j in range(len(t.arc)) if t.arc[j] > t.arc[i] + d), t.last)
+
+
+def test_basins():
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        n = 9
+        height = {v: float(rng.integers(1, 8)) + v / 100 for v in range(n)}
+        edges = {(int(a), int(b)) for a, b in rng.integers(0, n, (12, 2)) if a < b} | {(v, v + 1) for v in range(n - 1)}
+        adjacent = {v: [(b if a == v else a, 1.0) for a, b in edges if v in (a, b)] for v in range(n)}
+        seeds = [v for v in height if all(height[u] < height[v] for u, _ in adjacent[v])]
+        # The highest lowest point on any way, by closing all pairs.
+        wide = {(a, b): min(height[a], height[b]) if (min(a, b), max(a, b)) in edges else height[a] if a == b else float("-inf") for a in range(n) for b in range(n)}
+        for k in range(n):
+            for a in range(n):
+                for b in range(n):
+                    wide[a, b] = max(wide[a, b], min(wide[a, k], wide[k, b]))
+        label = graph.flood(adjacent, height, seeds)
+        assert all(wide[seeds[label[v]], v] == max(wide[s, v] for s in seeds) for v in range(n))
+        one = dict.fromkeys(range(n), 1.0)
+        assert set(graph.basins(adjacent, height, one, 99.0, 0.0, 0.0).values()) == {0}
+        assert len(set(graph.basins(adjacent, height, one, 99.0, 2.0, 0.0).values())) == len(seeds)
+        whole = graph.basins(adjacent, height, one, 99.0, 2.0, 4.0)
+        assert min(list(whole.values()).count(k) for k in set(whole.values())) >= 4 or len(set(whole.values())) == 1
+    line = {v: [(u, 1.0) for u in (v - 1, v + 1) if 0 <= u < 6] for v in range(6)}
+    tall = dict(enumerate((5.0, 1.0, 4.0, 3.9, 1.0, 2.0)))
+    assert graph.basins(line, tall, dict.fromkeys(tall, 1.0), 99.0, 0.9, 0.0) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2}
+    assert graph.basins(line, tall, dict.fromkeys(tall, 1.0) | {0: 5.0, 3: 2.0}, 99.0, 0.9, 2.5) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
+def test_long_paths_settle(spark):
+    path = spark.range(10_000).selectExpr("id as u", "id + 1 as v")
+    star = spark.range(100_000).selectExpr("200000L as u", "300000 + id as v")
+    got = graph.connected_components(path.union(star), 0, 22).groupBy("root").count().collect()
+    assert {(r["root"], r["count"]) for r in got} == {(0, 10_001), (200_000, 100_001)}
+    got = graph.connected_components(path, 1000, 22).groupBy("root").count().collect()
+    assert {(r["root"], r["count"]) for r in got} == {(0, 10_001)}
+
+
+def test_fill_subsets(spark):
+    import hashlib
+
+    from trailmark.operators import selection
+
+    rng = np.random.default_rng(12)
+    rows = [(int(i), f"s{rng.integers(0, 4)}", bool(rng.random() < 0.8)) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, scene string, ok boolean").repartition(5)
+    room, seen, want = [9] * 5, {}, {}
+    for k, scene, ok in rows:
+        if ok and any(room):
+            at = int(hashlib.md5(scene.encode()).hexdigest(), 16) % 5 + seen.get(scene, 0)
+            while not room[at % 5]:
+                at += 1
+            want[k] = at % 5
+            room[at % 5] -= 1
+            seen[scene] = seen.get(scene, 0) + 1
+    assert dict(selection.fill_subsets(df, "k", "scene", 5, 9, F.col("ok")).collect()) == want and len(want) == 45
 
 
 def test_measures_registry(spark):
@@ -163,17 +272,77 @@ def test_measures_registry(spark):
 
 
 def test_machines():
-    c = machines.CollisionRecovery(2)
-    assert [c.feed(1, True, 0.1), c.feed(1, True, 0.2), c.feed(2, False, None), c.feed(1, True, 0.0), c.feed(1, False, 3.0), c.feed(1, False, 3.0), c.feed(1, False, 3.0)] == ["count", "recover", "turn", "turn", "free", "released", "idle"]
-    c = machines.CollisionRecovery(1)
-    said = [c.feed(1, True, 0.0) for _ in range(40)]
-    assert said[25] == "exhausted" and said[26:36] == ["idle"] * 10 and said[36] == "recover"
     q = machines.Queue(2)
     assert [q.put(1), q.put(2), q.put(3)] == [0, 0, 1] and q.act([9]) == 2 and q.act([9]) == 3 and q.act([7, 8, 9]) == 7
     w = machines.Waypoints([(0.0, 0.0), (1.0, 0.0)], 0.5, 0.1)
     assert [w.feed(0.2, 0.0), w.feed(0.8, 0.0), w.feed(1.0, 0.05)] == [1, 1, 2]
 
 
+class PlainUnstick:
+    """The rules of the machine one by one, with a flag for each thing to know."""
+
+    def __init__(self, steps):
+        self.steps, self.n, self.asked, self.turn, self.free, self.tries, self.rest, self.end = steps, 0, False, None, 0, 0, 0, False
+
+    def feed(self, action, collided, change, plan, default, pending, left, right):
+        said = ("keep", "")
+        if self.turn and action == 1 and collided:
+            self.free, self.tries = 0, self.tries + 1
+            said = ("queue", f"{self.turn},1") if self.tries <= 24 else ("plan", "")
+            if said[0] == "plan":
+                self.turn, self.rest, self.n = None, 10, 0
+        elif self.turn and action == 1:
+            self.free += 1
+            said = ("queue", "1") if self.free < 2 else ("plan", "")
+            if said[0] == "plan":
+                self.turn, self.n = None, 0
+        elif not self.turn:
+            if not self.end and not self.rest and action == 1 and collided and change is not None and change <= 0.5:
+                self.n += 1
+                self.asked = self.n >= self.steps
+            else:
+                self.n = 0
+                if self.rest and not self.end:
+                    self.rest -= 1
+        if plan is None:
+            return said
+        self.end, queue = 0 in default, list(default)
+        if self.end:
+            self.n, self.turn = 0, None
+        elif self.asked:
+            ahead = [a for a in [*pending, *(plan[: plan.index(0)] if 0 in plan else plan)] if a > 1]
+            self.turn = ahead[0] if ahead else 2 if left >= right else 3
+            self.free, self.tries, self.n, queue = 0, 1, 0, [self.turn, 1]
+        self.asked = False
+        return "queue", ",".join(map(str, queue))
+
+
+def test_unstick_equals_plain_rules():
+    rng = np.random.default_rng(13)
+    said = set()
+    for steps in (1, 2, 3):
+        for trial in range(60):
+            a, b = machines.Unstick(steps), PlainUnstick(steps)
+            bump = (0.95, 0.6, 0.3)[trial % 3]
+            for _ in range(150):
+                plan = [int(x) for x in rng.choice([0, 1, 2, 3], rng.integers(1, 4), p=(0.1, 0.5, 0.2, 0.2))] if rng.random() < 0.15 else None
+                default = plan if plan is None or rng.random() < 0.5 else plan[:1]
+                pending = [int(x) for x in rng.choice([1, 2, 3], rng.integers(0, 3))]
+                row = (int(rng.choice([1, 2, 3], p=(0.8, 0.1, 0.1))), bool(rng.random() < bump), None if rng.random() < 0.1 else float(rng.random() * 0.7), plan, default, pending, float(rng.random()), 0.5)
+                got = a.feed(*row)
+                assert got == b.feed(*row)
+                said.add(got[0])
+    assert said == {"keep", "queue", "plan"}
+    never = machines.Unstick(0)
+    assert never.feed(1, True, 0.0) == ("keep", "") and never.feed(1, True, 0.0, [1, 2]) == ("queue", "1,2")
+    asked = machines.Unstick(1)
+    asked.feed(1, True, 0.0)
+    with pytest.raises(ValueError, match="logits"):
+        asked.feed(None, False, None, [1, 1])
+    with pytest.raises(ValueError):
+        machines.Unstick(True)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [{"k": int(i % 3), "i": i, "action": int(rng.integers(1, 4)), "collided": bool(rng.random() < 0.7), "change": float(rng.random())} for i in range(120)]
@@ -183,9 +352,9 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         (src / f"{part}.json").write_text("\n".join(map(json.dumps, rows[part * 40 : part * 40 + 40])))
         time.sleep(0.05)
-    want = machines.batch(spark.read.schema(schema).json(str(src)), "k", ["i"], ["action", "collided", "change"], lambda: machines.CollisionRecovery(2), "said string").collect()
+    want = machines.batch(spark.read.schema(schema).json(str(src)), "k", ["i"], ["action", "collided", "change"], lambda: machines.Unstick(2), "said string, queue string").collect()
     live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
-    out = machines.stream(live, "k", ["i"], ["action", "collided", "change"], lambda s: machines.CollisionRecovery(2, s), "said string")
+    out = machines.stream(live, "k", ["i"], ["action", "collided", "change"], lambda s: machines.Unstick(2, s), "said string, queue string")
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
