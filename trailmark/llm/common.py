@@ -19,8 +19,8 @@ BLOCK_CHARS = 1_500_000
 #: A table is broadcast only if it was counted and has at most so many rows of bounded width.
 BROADCAST_ROWS = 100_000
 
-#: A key with more rows than this may be hot; the bound grows with the table so that at most BROADCAST_ROWS keys are.
-HOT_ROWS = 256
+#: A key with more rows than HOT_ROWS may be hot; the bound grows with the table so that at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 256, 2_000
 
 #: Shared folders made so far, for :func:`scratch`.
 _MADE: list[str] = []
@@ -85,8 +85,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (row: all columns of ``docs`` as one struct, text): no column of the caller can clash with one of an operator."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    """Rows (row: all other columns of ``docs`` as one struct, text): no column of the caller can clash with one of an operator."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).cast("string").alias("none")]
+    return docs.select(F.struct(*rest).alias("row"), F.col(text_col).alias("text"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], text_col: str = "text", **made: Column) -> DataFrame:
+    """The columns that were packed, in their order; those in ``made`` with the values given there."""
+    value = lambda c: made[c] if c in made else F.col("text") if c == text_col else F.col("row")[c]
+    return rows.select(*(value(c).alias(c) for c in columns))
 
 
 def text_key(text: Column) -> Column:
@@ -98,15 +105,18 @@ def hot_join(rows: DataFrame, values: DataFrame, key: str, n: str, how: str = "l
     """``rows`` joined with ``values`` (unique ``key``, bounded width; ``n``: how many of ``rows`` have it) where single keys may hold any share of the rows.
 
     Keys with more rows than a bound are joined by broadcast, so their rows stay where they are; the bound is such that
-    there cannot be more than BROADCAST_ROWS of them.  All other keys meet in a shuffle, at most so many rows to a key.
-    Both tables are read more than once and should be written ones.  ``how`` is left or inner.
+    there cannot be more than HOT_KEYS of them.  All other keys meet in a shuffle, at most so many rows to a key; the plan is the same at
+    every size but the smallest.  Both tables are read more than once and should be written ones.  ``how`` is left or inner.
     """
     known = values.agg(F.count(F.lit(1)).alias("keys"), F.sum(n).alias("rows")).first()
-    if known["keys"] <= BROADCAST_ROWS:
+    if known["keys"] <= HOT_KEYS:
         return rows.join(F.broadcast(values), key, how)
-    bound = max(HOT_ROWS, -(-int(known["rows"] or 0) // BROADCAST_ROWS))
-    hot = F.broadcast(values.where(F.col(n) > bound))
-    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(n) <= bound), key, how)
+    bound = max(HOT_ROWS, -(-int(known["rows"]) // HOT_KEYS))
+    hot = values.where(F.col(n) > bound)
+    if hot.isEmpty():
+        return rows.join(values.hint("merge"), key, how)
+    hot = F.broadcast(hot)
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col(n) <= bound).hint("merge"), key, how)
     return rows.join(hot, key).unionByName(rest)
 
 
@@ -156,13 +166,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], out: StructType, arrow: pa.Schema, text: str = "text") -> DataFrame:
+def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], out: StructType, arrow: pa.Schema, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Arrow-batched map: ``make()`` is called once a task and gives a function from a list of texts (never null) to columns.
 
-    ``out`` and ``arrow`` name the added columns; the columns of ``df`` but ``text`` pass through in front of them.  If what
+    ``out`` and ``arrow`` name the added columns; the columns of ``df`` (but ``text``, unless it is kept) pass through in front of them.  If what
     ``make`` gives has a method ``end``, it is called when the task ends.
     """
-    keep = [f for f in df.schema.fields if f.name != text]
+    keep = [f for f in df.schema.fields if keep_text or f.name != text]
     names = [f.name for f in keep]
 
     def run(batches):

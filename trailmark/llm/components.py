@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, hot_join, written
+from .common import HOT_KEYS, hot_join, written
 
 #: Edges that one task finishes.
 FEW = 100_000
@@ -37,7 +37,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hook = written(met.select("node", F.least("low", _order(F.col("node"), k))["to"].alias("to"), "n"), f"{name}-hooks")
         hooks.append(hook.select("node", "to"))
         first = hot_join(edges, hook.select(F.col("node").alias("u"), F.col("to").alias("a"), "n"), "u", "n", "inner").drop("n")
-        if hook.count() > BROADCAST_ROWS:
+        if hook.count() > HOT_KEYS:
             first = written(first, f"{name}-renamed")
         renamed = hot_join(first, hook.select(F.col("node").alias("v"), F.col("to").alias("b"), "n"), "v", "n", "inner").where("a <> b")
         edges = written(renamed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"{name}-edges")

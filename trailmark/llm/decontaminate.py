@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, packed, salted_join, text_key, written
+from .common import BROADCAST_ROWS, packed, salted_join, text_key, unpacked, written
 
 #: Five words each; the first, without gaps, also finds items of five words.  Fixed values.
 MASKS = ("11111", "1101011", "11001101", "101100011")
@@ -111,5 +111,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     found = written(found, "contaminated")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    clean = rows.join(found, "key", "left_anti")
-    return clean.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return unpacked(rows.join(found, "key", "left_anti"), docs.columns, text_col)

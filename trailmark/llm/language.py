@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import held_out, map_text, packed
+from .common import held_out, map_text, packed, unpacked
 
 #: Bytes of the dictionary of one language.
 DICTIONARY_BYTES = 256 * 1024
@@ -120,8 +120,8 @@ def _margin(sizes: list[int]) -> float:
     return (second - first) / second
 
 
-def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns of ``docs`` to keep (all but the text) with ``lang_pred`` string, ``lang_score`` double, ``lang_accepted`` boolean."""
+def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text", margin: float = MARGIN, keep: tuple[str, ...] | None = None, keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` to keep (all but the text, unless that is kept as well) with ``lang_pred`` string, ``lang_score`` double, ``lang_accepted`` boolean."""
 
     def make():
         judge = Classifier(contents)
@@ -135,14 +135,13 @@ def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text"
     names = ("lang_pred", "lang_score", "lang_accepted")
     out = StructType([StructField(n, k) for n, k in zip(names, (StringType(), DoubleType(), BooleanType()), strict=True)])
     kept = [c for c in docs.columns if c != text_col and c not in names] if keep is None else list(keep)
-    return map_text(docs.select(*kept, text_col), make, out, pa.schema(list(zip(names, (pa.string(), pa.float64(), pa.bool_()), strict=True))), text_col)
+    return map_text(docs.select(*kept, text_col), make, out, pa.schema(list(zip(names, (pa.string(), pa.float64(), pa.bool_()), strict=True))), text_col, keep_text)
 
 
 def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is clear, with the predicted language as theirs; learned from ``docs`` itself."""
-    seen = identify(packed(docs, text_col), dictionaries(docs.where(training_rows(docs, id_col)), text_col, lang_col))
-    kept = seen.where("lang_accepted")
-    return kept.select(*(F.col("lang_pred").alias(c) if c == lang_col else F.col("row")[c].alias(c) for c in docs.columns))
+    seen = identify(packed(docs, text_col), dictionaries(docs.where(training_rows(docs, id_col)), text_col, lang_col), keep=("row",), keep_text=True)
+    return unpacked(seen.where("lang_accepted"), docs.columns, text_col, **{lang_col: F.col("lang_pred")})
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:

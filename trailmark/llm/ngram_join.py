@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blocks, give_back, hot_join, packed, text_key, written
+from .common import BROADCAST_ROWS, blocks, give_back, hot_join, packed, text_key, unpacked, written
 from .components import components
 
 #: Words of an n-gram and least similarity of a pair.
@@ -343,15 +343,13 @@ def one_of_each_class(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     placed = _placed(docs, n, threshold, recall, tile, id_col, text_col)
     first = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("m"))
     kept = written(first.select(F.col("m.id").alias("id"), F.col("m.key").alias("key")), "kept")
-    rows = packed(docs, text_col).select("row", F.col(f"row.`{id_col}`").alias("id"), text_key(F.col("text")).alias("key"))
+    rows = packed(docs, text_col).select("row", "text", F.col(f"row.`{id_col}`").alias("id"), text_key(F.col("text")).alias("key"))
     # Rows of one id and text are repeats of one row, of which one stays; with null ids there is nothing else to tell them apart.
-    if kept.count() <= BROADCAST_ROWS:
-        kept = F.broadcast(kept)
-    ones = rows.join(kept, rows["key"].eqNullSafe(kept["key"]) & rows["id"].eqNullSafe(kept["id"]), "left_semi")
+    ones = rows.join(kept.hint("merge"), rows["key"].eqNullSafe(kept["key"]) & rows["id"].eqNullSafe(kept["id"]), "left_semi")
     if not placed.where("root is not null").groupBy("id", "key").count().where("count > 1").isEmpty():
         ones = ones.dropDuplicates(["id", "key"])
     wordless = placed.where("root is null").select("key").distinct()
     if wordless.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wordless = F.broadcast(wordless)
-    both = ones.select("row").unionByName(rows.join(wordless, "key", "left_semi").select("row"))
-    return both.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    both = ones.select("row", "text").unionByName(rows.join(wordless, "key", "left_semi").select("row", "text"))
+    return unpacked(both, docs.columns, text_col)
