@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, written
+from .common import packed, unpacked, written
 
 # Kinds in their order.
 BASE = ("email", "ip", "card", "phone")
@@ -305,4 +305,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     whole = F.get(F.transform(F.array(F.struct(cuts.alias("cuts"), spans.alias("spans"), F.length(text).alias("n"))), new), F.lit(0))
     done = accepted(found, train(found)).select("row", F.when(F.size("pii_spans") > 0, whole).otherwise(text).alias("text"))
-    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return unpacked(done, docs.columns, text_col)
