@@ -324,7 +324,7 @@ def test_media_hot_chunks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     from trailmark.llm import common
 
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
     monkeypatch.setattr(media, "HOT_ROWS", 5)
     got = {r["doc_id"]: (r["n_bytes"], r["payload_sha256"]) for r in media.media_columns(df).collect()}
@@ -334,7 +334,7 @@ def test_media_hot_chunks(spark, monkeypatch):
 def test_joins_of_hot_keys(spark, monkeypatch):
     from trailmark.llm import common
 
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
     monkeypatch.setattr(common, "HOT_ROWS", 3)
     left = spark.createDataFrame([(i, None if i % 11 == 0 else "hot" if i % 2 else f"k{i % 17}") for i in range(200)], "i long, k string")
     right = left.where("k is not null and k <> 'k4'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("v"))
