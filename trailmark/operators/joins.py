@@ -80,6 +80,32 @@ def first_beyond(points: DataFrame, key: str, at: str, ahead: float, order: str)
     return reach.join(following, [key, "_reach"], "left").drop("_reach")
 
 
+def path_structure(points: DataFrame, connections: DataFrame, key: str, order: str) -> DataFrame:
+    """The regions a path goes through and the connections it takes; rows (key, regions, taken), ``regions`` and ``taken`` null for a path
+    of fewer than two runs or with a step between regions that no connection joins.
+
+    ``points``: (key, order, x, z, label), label negative outside of all regions; ``connections``: (lo, hi, connection, cx, cz).  A step takes the
+    connection of its two regions that is nearest to the middle between the last point of one run and the first of the next.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    new = (~F.col("label").eqNullSafe(F.lag("label").over(w))).cast("int")
+    runs = points.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).where("label >= 0").groupBy(key, "_run")
+    at = F.struct("x", "z")
+    runs = runs.agg(F.min("label").alias("label"), F.min_by(at, order).alias("_first"), F.max_by(at, order).alias("_last"))
+    r = Window.partitionBy(key).orderBy("_run")
+    steps = runs.withColumn("_to", F.lead("label").over(r)).withColumn("_next", F.lead("_first").over(r))
+    middle = lambda c: (F.col(f"_last.{c}") + F.col(f"_next.{c}")) / 2
+    steps = steps.select(key, "_run", "label", "_to", F.least("label", "_to").alias("lo"), F.greatest("label", "_to").alias("hi"), middle("x").alias("mx"), middle("z").alias("mz"))
+    near = F.sqrt((F.col("cx") - F.col("mx")) ** 2 + (F.col("cz") - F.col("mz")) ** 2)
+    # Steps without a connection stay, with none; the last run of a path has no step.
+    met = steps.join(connections, ["lo", "hi"], "left").groupBy(key, "_run", "label", "_to").agg(F.min(F.when(F.col("connection").isNotNull(), F.struct(near.alias("d"), F.col("connection").alias("c")))).alias("_b"))
+    rows = F.array_sort(F.collect_list(F.struct("_run", "label", F.col("_b.c").alias("c"))))
+    whole = met.groupBy(key).agg(rows.alias("s"), F.count("_to").alias("_steps"), F.count("_b").alias("_taken"))
+    ok = (F.col("_steps") > 0) & (F.col("_steps") == F.col("_taken"))
+    paths = points.select(key).distinct()
+    return paths.join(whole, key, "left").select(key, F.when(ok, F.col("s.label")).alias("regions"), F.when(ok, F.filter(F.col("s.c"), lambda c: c.isNotNull())).alias("taken"))
+
+
 def owners(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, width: int = 4) -> DataFrame:
     """Points with each span [low, high) of their key that holds them; joined on buckets of ``width``."""
     s = spans.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))

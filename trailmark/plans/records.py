@@ -11,6 +11,7 @@ from ..functions import geometry as GEO
 from ..functions import text as X
 from ..functions import validate
 from ..operators import graph as G
+from ..operators import joins as J
 from ..operators import records as REC
 from ..sources import images, jsonl, sinks
 from ..streaming import machines
@@ -261,6 +262,27 @@ def same_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("episode_id", REC.same_route(runs, seen).alias("same"))
 
 
+_CONNECTIONS = ((0, 1, 10, -0.1, 0.0), (0, 1, 11, -0.1, 0.3), (1, 2, 12, 0.1, 0.0), (1, 2, 13, 0.1, -0.3), (0, 2, 14, 0.0, 0.0))
+
+
+@query(f"""with {V.POSES_SQL}, p as (select label * 100 + vec_id // 50 as path, vec_id, x, z, case when abs(z) > 0.2 then -1 when x < -0.1 then 0 when x < 0.1 then 1 else 2 end as region from poses),
+n as (select *, case when region is distinct from lag(region) over (partition by path order by vec_id) then 1 else 0 end as new from p), r as (select *, sum(new) over (partition by path order by vec_id) as run from n),
+runs as (select path, run, min(region) as region, min_by(x, vec_id) as fx, min_by(z, vec_id) as fz, max_by(x, vec_id) as lx, max_by(z, vec_id) as lz from r where region >= 0 group by path, run),
+s as (select *, lead(region) over w as nxt, (lx + lead(fx) over w) / 2 as mx, (lz + lead(fz) over w) / 2 as mz from runs window w as (partition by path order by run)),
+c(lo, hi, connection, cx, cz) as (values {', '.join(map(str, _CONNECTIONS))}),
+t as (select s.*, (select arg_min(connection, (sqrt(power(cx - mx, 2) + power(cz - mz, 2)), connection)) from c where lo = least(region, nxt) and hi = greatest(region, nxt)) as taken from s),
+w as (select path, count(nxt) > 0 and count(nxt) = count(taken) as ok, string_agg(region::varchar, ',' order by run) as regions, string_agg(taken::varchar, ',' order by run) as taken from t group by path)
+select path, case when ok then regions end as regions, case when ok then taken end as taken from (select distinct path from p) left join w using (path)""")
+def path_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short paths through three regions, with two connections for most pairs."""
+    x, z = F.col("x"), F.col("z")
+    region = F.when(F.abs(z) > 0.2, -1).when(x < -0.1, 0).when(x < 0.1, 1).otherwise(2)
+    p = V.poses(spark, sf_dir).select((F.col("label") * 100 + F.floor(F.col("vec_id") / 50)).alias("path"), "vec_id", "x", "z", region.alias("label"))
+    c = spark.createDataFrame(list(_CONNECTIONS), "lo int, hi int, connection int, cx double, cz double")
+    text = lambda k: F.array_join(F.transform(k, lambda v: v.cast("string")), ",").alias(k)
+    return J.path_structure(p, c, "path", "vec_id").select("path", text("regions"), text("taken"))
+
+
 _TAILS = ("", " follow the red arrow", " go along the Yellow Line", " at label Q", " in frame 12", " marked S3 then", " to the kitchen")
 
 
