@@ -82,7 +82,7 @@ def rows_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda *roles: jsonl.by_role(spark, {k: f"{path}/{k}" for k in ("user", "assistant")}, "conv_id long, turn long, language string", list(roles), ["*"])
     key = F.concat_ws(":", "conv_id", "turn").alias("key")
     first, second = (read(r).select(key, "conv_id", "turn", "role", F.lit(s).alias("source")) for r, s in (("user", "a"), ("*", "b")))
-    return jsonl.with_fallback(first, second, "key").select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "source")
+    return jsonl.with_fallback(first, second, "key").select("conv_id", "turn", "role", "source")
 
 
 @query("""with i as (select vec_id, list_transform(embedding, lambda v: (abs(v) * 400)::int) as px from embeddings)
@@ -101,7 +101,7 @@ def picture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("select doc_id, row_number() over (order by doc_id) - 1 as line, sum(n_chars + 1) over (order by doc_id) - n_chars - 1 as at from documents")
+@query("select doc_id, row_number() over (order by doc_id) - 1 as line, (sum(n_chars + 1) over (order by doc_id) - n_chars - 1)::bigint as at from documents")
 def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and offset of each row in order of id; running sums are made by ranges of ids, of which few totals are put in order."""
     d = _T(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("size"), F.floor(F.col("doc_id") / 256).alias("part"))
