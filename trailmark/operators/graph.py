@@ -6,12 +6,15 @@ Iterations write their tables to the shared folder, so a lost executor costs one
 from __future__ import annotations
 
 import heapq
+import itertools
+import operator
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,68 +192,131 @@ def flood(adjacent: dict, height: dict, seeds: list) -> dict:
 
 
 def _borders(adjacent: dict, height: dict, label: dict) -> dict:
-    """(label, other label) -> (highest lower end of an edge between them, number of edges)."""
-    out: dict = {}
+    """label -> other label -> (highest lower end of an edge between them, number of edges)."""
+    out: dict = {k: {} for k in label.values()}
     for v, around in adjacent.items():
-        for u, _ in around:
-            if label.get(v) != label.get(u) and v in label and u in label:
-                top, n = out.get((label[v], label[u]), (float("-inf"), 0))
-                out[label[v], label[u]] = max(top, min(height[v], height[u])), n + 1
+        if v in label:
+            for u, _ in around:
+                if u in label and label[v] != label[u]:
+                    top, n = out[label[v]].get(label[u], (float("-inf"), 0))
+                    out[label[v]][label[u]] = max(top, min(height[v], height[u])), n + 1
     return out
 
 
+def _spread(adjacent: dict, far: dict, starts: list) -> list:
+    """Lowers ``far`` to the distance from the nearest of ``starts``, where that is less; the nodes that got another one."""
+    todo, new = [(0.0, s) for s in starts], []
+    far.update(dict.fromkeys(starts, 0.0))
+    heapq.heapify(todo)
+    while todo:
+        d, u = heapq.heappop(todo)
+        if d > far[u]:
+            continue
+        new.append(u)
+        for v, w in adjacent.get(u, ()):
+            if d + w < far[v]:
+                far[v] = d + w
+                heapq.heappush(todo, (d + w, v))
+    return new
+
+
 def basins(adjacent: dict, height: dict, area: dict, radius: float, ratio: float, least_area: float) -> dict:
     """Labels of a scene's nodes, which are numbered by their least node.
 
     Seeds are the nodes with no higher neighbour and then the farthest ones until all are within ``radius`` of a seed.
     Basins whose saddle is at least ``ratio`` of the higher summit are one; a basin under ``least_area`` joins the
     neighbour with the highest saddle, then the most edges, then the least label.
+
+    All first seeds spread at once and a later one only as far as it is the nearest; a join changes the borders of the two basins alone.
     """
     seeds = [v for v in sorted(height) if all((height[u], -u) < (height[v], -v) for u, _ in adjacent.get(v, ()) if u != v)]
     far = dict.fromkeys(height, float("inf"))
-    for v in seeds:
-        for u, d in _dijkstra(adjacent, v).items():
-            far[u] = min(far[u], d)
-    while (v := max(sorted(height), key=far.__getitem__)) not in seeds and far[v] > radius:
+    _spread(adjacent, far, seeds)
+    known, farthest = set(seeds), [(-d, v) for v, d in far.items()]
+    heapq.heapify(farthest)
+    while farthest:
+        d, v = heapq.heappop(farthest)
+        if -d != far[v]:
+            continue
+        if v in known or far[v] <= radius:
+            break
         seeds.append(v)
-        for u, d in _dijkstra(adjacent, v).items():
-            far[u] = min(far[u], d)
+        known.add(v)
+        for u in _spread(adjacent, far, [v]):
+            heapq.heappush(farthest, (-far[u], u))
     label = flood(adjacent, height, seeds)
     up = list(range(len(seeds)))
 
     def top(k):
         while up[k] != k:
+            up[k] = up[up[k]]
             k = up[k]
         return k
 
-    for (a, b), (saddle, _) in _borders(adjacent, height, label).items():
-        if saddle >= ratio * max(height[seeds[a]], height[seeds[b]], 1e-6):
-            x, y = sorted((top(a), top(b)))
-            up[y] = x
+    for a, around in _borders(adjacent, height, label).items():
+        for b, (saddle, _) in around.items():
+            if saddle >= ratio * max(height[seeds[a]], height[seeds[b]], 1e-6):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
     label = {v: top(k) for v, k in label.items()}
-    changed = True
-    while changed:
-        changed = False
-        size: dict = {}
-        for v, k in label.items():
-            size[k] = size.get(k, 0.0) + area[v]
-        for k in sorted(k for k in size if size[k] < least_area):
-            around = {b: x for (a, b), x in _borders(adjacent, height, label).items() if a == k}
-            if around:
-                new = max(around, key=lambda b: (*around[b], -b))  # noqa: B023
-                label = {v: new if old == k else old for v, old in label.items()}
-                changed = True
-                break
+    size: dict = {}
+    for v, k in label.items():
+        size[k] = size.get(k, 0.0) + area[v]
+    borders, into = _borders(adjacent, height, label), {}
+    small = sorted(k for k in size if size[k] < least_area)  # a sorted list is a heap
+    while small:
+        k = small[0]
+        # Only a join with this one would give it a neighbour, so one without any stays as it is.
+        if k in into or size[k] >= least_area or not borders[k]:
+            heapq.heappop(small)
+            continue
+        new = max(borders[k], key=lambda b: (*borders[k][b], -b))  # noqa: B023
+        into[k] = new
+        size[new] += size[k]
+        for b, (saddle, n) in borders.pop(k).items():
+            del borders[b][k]
+            if b != new:
+                high, m = borders[new].get(b, (float("-inf"), 0))
+                borders[new][b] = borders[b][new] = max(high, saddle), m + n
+    final: dict = {}
+    for k in size:
+        way, at = [], k
+        while at in into and at not in final:
+            way.append(at)
+            at = into[at]
+        final.update(dict.fromkeys([*way, k], final.get(at, at)))
     number: dict = {}
-    return {v: number.setdefault(label[v], len(number)) for v in sorted(label)}
+    return {v: number.setdefault(final[label[v]], len(number)) for v in sorted(label)}
 
 
 def watershed(edges: DataFrame, nodes: DataFrame, scene: str, radius: float, ratio: float, least_area: float) -> DataFrame:
-    """Rows (scene, node, label) by :func:`basins` on each scene; ``nodes``: (scene, node, height, area), one row a node."""
+    """Rows (scene, node, label) by :func:`basins` on each scene; ``nodes``: (scene, node, height, area), one row a node.
 
-    def run(key, graph: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        height, area = (dict(zip(rows["node"].tolist(), rows[c].tolist(), strict=True)) for c in ("height", "area"))
-        found = basins(_adjacent(graph), height, area, radius, ratio, least_area)
-        return pd.DataFrame({scene: [key[0]] * len(found), "node": list(found), "label": list(found.values())}, columns=[scene, "node", "label"])
-
-    return edges.groupBy(scene).cogroup(nodes.groupBy(scene)).applyInPandas(run, f"{scene} long, node long, label int")
+    Nodes and edges of a scene come one after the other in one stream of batches: groups cost no call of their own, and a task holds one scene.
+    """
+    as_node = nodes.select(scene, F.lit(0).alias("kind"), F.col("node").alias("u"), F.lit(0).cast("long").alias("v"), F.col("height").cast("double").alias("w"), F.col("area").cast("double").alias("area"))
+    as_edge = edges.select(scene, F.lit(1).alias("kind"), "u", "v", F.col("w").cast("double").alias("w"), F.lit(0.0).alias("area"))
+    most = 20_000  # rows of a batch that is handed out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b[scene].to_pylist(), *(b[c].to_numpy(zero_copy_only=False).tolist() for c in ("kind", "u", "v", "w", "area")), strict=True))
+        out: tuple = ([], [], [])
+        pack = lambda: pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=[scene, "node", "label"])
+        for name, group in itertools.groupby(rows, operator.itemgetter(0)):
+            adjacent, height, area = {}, {}, {}
+            for _, kind, u, v, w, a in group:
+                if kind:
+                    adjacent.setdefault(u, []).append((v, w))
+                    adjacent.setdefault(v, []).append((u, w))
+                else:
+                    height[u], area[u] = w, a
+            found = basins(adjacent, height, area, radius, ratio, least_area)
+            out[0].extend([name] * len(found))
+            out[1].extend(found)
+            out[2].extend(found.values())
+            if len(out[0]) >= most:
+                yield pack()
+                out = ([], [], [])
+        yield pack()
+
+    return as_node.unionByName(as_edge).repartition(scene).sortWithinPartitions(scene).mapInArrow(run, f"{scene} long, node long, label int")
