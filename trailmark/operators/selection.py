@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -102,21 +104,40 @@ def _triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarra
 def locate(points: DataFrame, triangles: DataFrame, point: str, triangle: str, radius: float, cell: float) -> DataFrame:
     """The nearest triangle (of equal distances the least id) within ``radius`` of each point; points have x, y, z, triangles corners ax..cz.
 
-    A triangle stands in every cell (x, z) that its box, grown by the radius, touches; points look in their own cell only, so
-    the join is an equi-join; exact distances come from an Arrow-batched kernel.  Points with none near are absent.
+    Rounds go from a small radius, the smaller the more triangles there are, up to ``radius``: a point that has a triangle within a round's
+    radius has met all that are as near and is done, so that dense places are settled before the radius is wide.  In a round a triangle stands in every cell
+    that its box, grown by the radius, touches; points look in their own cell only, so the join is an equi-join; exact distances
+    of the triangles whose grown box holds the point come from an Arrow-batched kernel.  Points with none near are absent.
     """
+    from .graph import settled
 
     @F.pandas_udf("double")
     def distance(px: pd.Series, py: pd.Series, pz: pd.Series, ax: pd.Series, ay: pd.Series, az: pd.Series, bx: pd.Series, by: pd.Series, bz: pd.Series, cx: pd.Series, cy: pd.Series, cz: pd.Series) -> pd.Series:
         s = lambda *v: np.stack([x.to_numpy(float) for x in v], axis=1)
         return pd.Series(_triangle_distance(s(px, py, pz), s(ax, ay, az), s(bx, by, bz), s(cx, cy, cz)))
 
-    def cells(k: str) -> Column:
-        c = [F.col(f"{q}{k}") for q in "abc"]
-        return F.sequence(F.floor((F.least(*c) - radius) / cell), F.floor((F.greatest(*c) + radius) / cell))
-
     corners = [f"{q}{k}" for q in "abc" for k in "xyz"]
-    t = triangles.select(triangle, *corners, F.explode(cells("x")).alias("_i"), cells("z").alias("_zs")).select(triangle, *corners, "_i", F.explode("_zs").alias("_j"))
-    p = points.select(point, "x", "y", "z", F.floor(F.col("x") / cell).alias("_i"), F.floor(F.col("z") / cell).alias("_j"))
-    d = p.join(t, ["_i", "_j"]).select(point, triangle, distance("x", "y", "z", *corners).alias("distance")).where(F.col("distance") <= radius)
-    return d.groupBy(point).agg(F.min(F.struct("distance", triangle)).alias("_b")).select(point, F.col(f"_b.{triangle}").alias(triangle), "_b.distance")
+    t = settled(triangles.groupBy(*corners).agg(F.min(triangle).alias(triangle)), "triangles")
+    todo, found, r = settled(points.select(point, "x", "y", "z"), "points"), [], float(radius)
+    many = t.count()
+    while many > 64:
+        many, r = many / 4, r / 4
+    while True:
+        grown = r * (1 + 1e-9) + 1e-12  # rounding may not hide a triangle at the very radius
+        low, high = ({k: pick(*(F.col(f"{q}{k}") for q in "abc")) + by for k in "xyz"} for pick, by in ((F.least, -grown), (F.greatest, grown)))
+        width = {"x": max(cell / 2, r), "y": r, "z": max(cell / 2, r)}  # floors lie flat: many of them are told apart by their height
+        near = t.select(triangle, *corners)
+        for k in "xyz":
+            near = near.withColumn(f"_{k}", F.explode(F.sequence(F.floor(low[k] / width[k]), F.floor(high[k] / width[k]))))
+        own = todo.select(point, "x", "y", "z", *(F.floor(F.col(k) / width[k]).alias(f"_c{k}") for k in "xyz"))
+        meet = F.lit(True)
+        for k in "xyz":
+            meet = meet & (F.col(f"_c{k}") == F.col(f"_{k}")) & (F.col(k) >= low[k]) & (F.col(k) <= high[k])
+        d = own.join(near, meet, "left").select(point, "x", "y", "z", triangle, distance("x", "y", "z", *corners).alias("distance"))
+        best = F.min(F.when(F.col("distance") <= r, F.struct("distance", triangle))).alias("_b")
+        done = settled(d.groupBy(point, "x", "y", "z").agg(best), "located")
+        found.append(done.where("_b is not null").select(point, F.col(f"_b.{triangle}").alias(triangle), "_b.distance"))
+        todo = done.where("_b is null").drop("_b")
+        if r >= radius or todo.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        r = min(r * 4, float(radius))
