@@ -127,7 +127,8 @@ def phrase_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
     every = {**X.PHRASES, "landmark": X.LANDMARK, "room": X.ROOM, "stop": X.STOP}
     needs = {"starts_turn_left_or_right": "turn", "turn_left_and_walk": "turn", "turn_right_and_walk": "turn", "walk_forward": "walk", "continue_straight": "continue", "proceed_forward": "proceed", "pass_or_past": "pas", "stop_near_the": "near the", "turn_around": "turn", "numeric_degrees": "degree"}
-    hit = lambda k, v: F.rlike("low", F.lit(v)) if k not in needs else F.contains("low", F.lit(needs[k])) & F.rlike("low", F.lit(v))
+    found = lambda v: F.rlike("low", F.lit(X.plain(v)))
+    hit = lambda k, v: found(v) if k not in needs else F.contains("low", F.lit(needs[k])) & found(v)
     d = _T(spark, sf_dir, "documents").select(low.alias("low"))
     r = d.agg(*(F.round(F.avg(hit(k, v).cast("int")) * 100, 6).alias(k) for k, v in every.items()))
     return r.select(F.inline(F.array(*(F.struct(F.lit(k).alias("phrase"), F.col(k).alias("pct")) for k in every))))
