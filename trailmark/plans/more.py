@@ -104,7 +104,7 @@ select vec_id, round(len(list_filter(px, lambda v: v < 16)) / 64.0, 9) as dark,
  round(coalesce(len(list_filter(list_filter(embedding, lambda d: d > 0), lambda d: d >= 0.05::float))::double / nullif(len(list_filter(embedding, lambda d: d > 0)), 0), 0), 9) as visible from i join embeddings using (vec_id)""")
 def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as images of 8 by 8; pixels arrive as arrays, as no decoder is installed."""
-    px = F.transform("embedding", lambda v: F.bround(F.abs(v) * 400).cast("int"))
+    px = F.transform("embedding", K.level)
     s = K.dark_shares(F.col("px"), 8, 8, 16)
     seen = K.visible_share(F.transform("embedding", lambda v: v.cast("double")), F.lit(0.05).cast("float").cast("double"), 0.0)
     return _T(spark, sf_dir, "embeddings").withColumn("px", px).select("vec_id", *(F.round(c, 9).alias(k) for k, c in s.items()), F.round(seen, 9).alias("visible"))
