@@ -14,6 +14,16 @@ def safe_mean(x: Column) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
 
 
+def ordered_means(place: Column, **xs: Column) -> Column:
+    """Struct of the means of some columns without nulls, added one by one in the order of ``place``; null where there is none.
+
+    A sum of doubles depends on the order of its terms, so that a mean beside a limit could fall on either side with each cut of the input.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(place.alias("_at"), *(x.cast("double").alias(k) for k, x in xs.items()))))
+    total = lambda k: F.aggregate(rows, F.lit(0.0), lambda s, r: F.when(r[k].isNull(), s).otherwise(s + r[k]))
+    return F.struct(*(F.try_divide(total(k), F.count(x)).alias(k) for k, x in xs.items()))
+
+
 def ranked_quantiles(df: DataFrame, value: str, ps: dict[str, float], rounding: str = "nearest", by: list[str] = ()) -> DataFrame:
     """A4, A5: the value at index round_half_even((n-1) p) ("nearest") or floor((n-1) p) ("floor"), a row for each group.
 

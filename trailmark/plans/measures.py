@@ -161,11 +161,11 @@ select l_orderkey, round(dirty, 6) as dirty, round(severe, 6) as severe, (dirty
  concat_ws(',', case when dirty >= 0.3 then 'dirty' end, case when severe >= 0.2 then 'severe' end, case when md >= 0.3 then 'max_dark' end, case when mt >= 0.7 then 'max_top' end, case when mb >= 0.8 then 'max_border' end) as reasons from a""")
 def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episode scores from frame statistics, with the reasons and the verdict."""
-    f = _T(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_discount") * 4).alias("dark"), (F.col("l_tax") * 8).alias("top"), (F.col("l_quantity") / 50.0).alias("border"))
+    f = V.placed(spark, sf_dir, "lineitem").select("at", "l_orderkey", (F.col("l_discount") * 4).alias("dark"), (F.col("l_tax") * 8).alias("top"), (F.col("l_quantity") / 50.0).alias("border"))
     bad = lambda d, t, b: F.avg(((F.col("dark") >= d) | (F.col("top") >= t) | (F.col("border") >= b)).cast("int"))
     a = f.groupBy("l_orderkey").agg(
-        F.avg("dark").alias("ad"), F.max("dark").alias("md"), F.avg("top").alias("at"), F.max("top").alias("mt"), F.max("border").alias("mb"), bad(0.2, 0.45, 0.8).alias("dirty"), bad(0.3, 0.7, 0.9).alias("severe")
-    )
+        S.ordered_means(F.col("at"), ad=F.col("dark"), at=F.col("top")).alias("m"), F.max("dark").alias("md"), F.max("top").alias("mt"), F.max("border").alias("mb"), bad(0.2, 0.45, 0.8).alias("dirty"), bad(0.3, 0.7, 0.9).alias("severe")
+    ).select("*", "m.*")
     remove = ((F.col("dirty") >= 0.3) & ((F.col("ad") >= 0.12) | (F.col("at") >= 0.25) | (F.col("mb") >= 0.8))) | (F.col("severe") >= 0.2)
     why = (("dirty", 0.3, "dirty"), ("severe", 0.2, "severe"), ("md", 0.3, "max_dark"), ("mt", 0.7, "max_top"), ("mb", 0.8, "max_border"))
     return a.select("l_orderkey", F.round("dirty", 6).alias("dirty"), F.round("severe", 6).alias("severe"), remove.alias("remove"), F.concat_ws(",", *(F.when(F.col(c) >= v, n) for c, v, n in why)).alias("reasons"))
