@@ -434,6 +434,24 @@ def test_pii_redaction_and_added_spans(spark):
     assert out.columns == df.columns and all("[LOCAL_PHONE]" in r["text"] and "[EMAIL]" in r["text"] and "@" not in r["text"] for r in out.collect())
 
 
+def test_pii_redaction_reads_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    letters = F.concat(*(F.translate(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 256), "0123456789", "ghijklmnop") for i in range(80)))
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(letters, F.lit(" a@b.example.org "), letters).alias("text"))
+    keys = ("spark.sql.parquet.columnarReaderBatchSize", "parquet.read.allocation.size", "parquet.hadoop.vectored.io.enabled")
+    before = [spark.conf.get(k, None) for k in keys]
+    out = pii.redact(df)
+    assert [spark.conf.get(k, None) for k in keys] == before
+    for path in out.inputFiles():
+        footer = pq.ParquetFile(path.removeprefix("file://")).metadata
+        sizes = [footer.row_group(i).total_byte_size for i in range(footer.num_row_groups)]
+        print(footer.num_rows, len(sizes), max(sizes))
+        assert max(sizes) < 8 << 20
+    both = out.join(df.withColumnRenamed("text", "was"), "doc_id")
+    assert both.count() == 3000 and both.where(F.col("text") != F.replace("was", F.lit("a@b.example.org"), F.lit("[EMAIL]"))).count() == 0
+
+
 def test_em_recovers_reliabilities():
     rng = random.Random(7)
     counts = defaultdict(int)

@@ -22,6 +22,10 @@ BROADCAST_ROWS = 100_000
 #: A key with more rows than HOT_ROWS may be hot; the bound grows with the table so that at most HOT_KEYS keys are.
 HOT_ROWS, HOT_KEYS = 256, 2_000
 
+#: For tables of whole texts: rows read at once, bytes of a file's column read at once, and bytes of a row group and of a page that are
+#: written.  A reader holds no more than a row group at once, whatever its own settings are.
+BATCH_ROWS, READ_BYTES, GROUP_BYTES, PAGE_BYTES = 256, 1 << 18, 1 << 21, 1 << 18
+
 #: Shared folders made so far, for :func:`scratch`.
 _MADE: list[str] = []
 
@@ -61,22 +65,34 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 @contextlib.contextmanager
-def cleaning(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside go as soon as it is written."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what runs inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here and survives lost executors."""
+def cleaning(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of what is written inside go as soon as it is written."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None, texts: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here and survives lost executors.
+
+    ``texts``: rows hold whole texts; they are read and written in small pieces.  Arrays of many MB, which batches of 4,096 texts
+    need, find no place between others in an executor's heap, so that it grows to its limit.
+    """
     path = path or shared_folder(df.sparkSession, name)
-    with cleaning(df.sparkSession):
-        df.write.option("compression", codec).parquet(path)
+    small = {"spark.sql.parquet.columnarReaderBatchSize": str(BATCH_ROWS), "parquet.read.allocation.size": str(READ_BYTES), "parquet.hadoop.vectored.io.enabled": "false"} if texts else {}
+    pages = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES)} if texts else {}
+    with cleaning(df.sparkSession), settings(df.sparkSession, small):
+        df.write.options(compression=codec, **pages).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -286,7 +286,7 @@ def spelled(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced by ``[KIND]``; overlapping spans become one mark, that of the first."""
-    found = written(spanned(packed(docs, text_col)), "spans")
+    found = written(spanned(packed(docs, text_col)), "spans", texts=True)
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text, spans = F.col("text"), F.col("pii_spans")
     # The text in cuts, so that a piece of it is taken from the cuts it lies in and not from the text's beginning on.
