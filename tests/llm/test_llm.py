@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import connect, same
 from tests.conftest import SF
-from trailmark.llm import bpe, decontaminate, html, language, media, ngram_join, pii, queries, secrets, toxicity, url_filter
+from trailmark.llm import bpe, common, decontaminate, html, language, media, ngram_join, pii, queries, secrets, toxicity, url_filter
 from trailmark.llm.common import table
 
 EDGE = [None, "", " ", "\n\n", "a", "word " * 30_000, "x" * 50_000, "héllo wörld 🙂 ½ Ⅷ", "same text here for all of us", "same text here for all of us", "<|endoftext|>token=abcdefghijkl1234"]
@@ -679,6 +679,36 @@ def test_grammar_brute():
         assert [p for p, _ in m.matches(t)] == [p for p, _ in want] and np.allclose([w for _, w in m.matches(t)], [w for _, w in want])
 
 
+def test_toxicity_learns_in_small_pieces(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    seen = {}
+
+    def kept(df, name, **more):
+        key = "spark.sql.icu.caseMappings.enabled"
+        seen[name] = df._jdf.queryExecution().executedPlan().toString(), (out := common.written(df, name, **more)), spark.conf.get(key)
+        return out
+
+    monkeypatch.setattr(toxicity, "written", kept)
+    keys = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.icu.caseMappings.enabled")
+    before = [spark.conf.get(k, None) for k in keys]
+    letters = F.concat(*(F.translate(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 256), "0123456789", "ghijklmnop") for i in range(80)))
+    bad = F.concat(F.lit("You Blorking, blorked BLORKER blor élan élanesque "), letters)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, bad).otherwise(letters).alias("text"))
+    toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    assert [spark.conf.get(k, None) for k in keys] == before
+    for path in seen["toxicity"][1].inputFiles():
+        footer = pq.ParquetFile(path.removeprefix("file://")).metadata
+        assert max(footer.row_group(i).total_byte_size for i in range(footer.num_row_groups)) < 8 << 20
+    plan, often, icu = seen["toxic-marks"]
+    assert icu == "false" and "transform(" not in plan
+    # Each row counts once for a mark, whichever of its words have it.
+    n = seen["toxicity"][1].where("y = 1").count()
+    found = {r["mark"]: r["a"] for r in often.collect() if r["a"] == n}
+    words = ["you", "blorking", "blorked", "blorker", "blor", "élan", "élanesque"]
+    assert n > 500 and found == dict.fromkeys([*words, *(f"{w[:k]}*" for w in words for k in toxicity.STEMS if len(w) > k)], n)
+
+
 def test_toxicity(spark, edge, empty):
     sf = SF.replace("0.001", "0.01")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")

@@ -77,6 +77,14 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_pieces(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Whole texts are read from files, and handed to Python, a few at a time by what runs inside."""
+    return settings(
+        spark,
+        {"spark.sql.parquet.columnarReaderBatchSize": str(BATCH_ROWS), "parquet.read.allocation.size": str(READ_BYTES), "parquet.hadoop.vectored.io.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)},
+    )
+
+
 def cleaning(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
     """Shuffle files of what is written inside go as soon as it is written."""
     return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})

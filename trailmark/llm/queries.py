@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import url_filter as urls
-from .common import held_out, table
+from .common import held_out, small_pieces, table, written
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -82,7 +82,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import learn, toxicity
 
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    # Scores are written here, as how texts are read is a setting of the session when the work is done.
+    with small_pieces(spark):
+        scored = written(toxicity(docs, model), "scores")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "clauses")
 
 

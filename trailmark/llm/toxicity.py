@@ -24,11 +24,11 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import BROADCAST_ROWS, give_back, held_out, map_text, written
+from .common import BROADCAST_ROWS, give_back, held_out, map_text, settings, small_pieces, written
 
 #: Labelled rows that are learned from at most (the expected number; drawn by hash).
 TRAIN_ROWS = 30_000
@@ -201,7 +201,26 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The lexicon, the stems and the patterns' weights from the sample."""
-    rows = written(_sample(docs, labels, id_col, text_col, label_col), "toxicity")
+    spark = docs.sparkSession
+    # ICU's tables for lower case cost an executor about 3 GB of garbage when it first needs them, for which its heap grows.  Java's differ in
+    # 67 code points, letters newer than Java 17.
+    with small_pieces(spark), settings(spark, {"spark.sql.icu.caseMappings.enabled": "false"}):
+        return _learned(written(_sample(docs, labels, id_col, text_col, label_col), "toxicity", texts=True))
+
+
+def _marks(word: Column, before: Column | None = None) -> Column:
+    """A word and, marked with a star, the beginnings of a longer word; null for each that it has not.
+
+    ``before``: the word before it among a row's sorted different words; what both have is left out, so that a row has each mark once.
+    Words with one beginning stand side by side there, behind the beginning itself, if that is a word.
+    """
+    fresh = lambda k: F.length(word) > k if before is None else (F.length(word) > k) & ~((F.length(before) > k) & (F.substring(before, 1, k) == F.substring(word, 1, k)))
+    return F.array(F.when(F.length(word) > 2, word), *(F.when(fresh(k), F.concat(F.substring(word, 1, k), F.lit("*"))) for k in STEMS))
+
+
+def _learned(rows: DataFrame) -> Model:
+    """What rows (text, y) teach.  Arrays are zipped and exploded, in generated code: functions with a lambda leave about a MB of garbage
+    for each text, and an executor's heap grows with the rate of that."""
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -209,10 +228,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     w = F.filter(F.split(F.lower("text"), "[^\\p{L}]++"), lambda x: x != "")
     cut = rows.select("y", w.alias("w"))
     # Features: words, and beginnings of longer words marked with a star.
-    marks = lambda x: F.concat(
-        F.when(F.length(x) > 2, F.array(x)).otherwise(F.array().cast("array<string>")), F.array_compact(F.array(*(F.when(F.length(x) > k, F.concat(F.substring(x, 1, k), F.lit("*"))) for k in STEMS)))
-    )
-    each = lambda rows: rows.select(F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("w"), marks)))).alias("mark"))
+    none = F.array(F.lit(""))
+
+    def each(rows):
+        words = rows.select(F.sort_array(F.array_distinct("w")).alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("word"), F.concat(none, "w").alias("before"))).alias("x"))
+        return words.where("x.word is not null").select(F.explode(_marks(F.col("x.word"), F.col("x.before"))).alias("mark")).where("mark is not null")
+
     # Only what stands in enough toxic rows is looked for in the others.
     often = written(each(cut.where("y = 1")).groupBy("mark").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= LEAST_ROWS), "toxic-marks")
     wanted = often.select("mark")
@@ -223,9 +244,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = F.log(((F.col("a") + 0.5) / n1) / ((F.col("b") + 0.5) / n0))
     odd = written(counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS), "toxic-odds")
     # Their neighbours in toxic rows: near copies of one text count as one context.  Rows carry three words, not the text.
-    near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    placed = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))
-    seen = cut.where("y = 1").select(F.explode(placed).alias("x")).select(F.explode(marks(F.col("x.word"))).alias("mark"), "x.context")
+    places = F.arrays_zip(F.col("w").alias("word"), F.concat(none, "w").alias("before"), F.concat(F.slice("w", 2, F.size("w")), none).alias("after"))
+    placed = cut.where("y = 1").select(F.explode(places).alias("x")).where("x.word is not null").select("x.word", F.xxhash64("x.before", "x.after").alias("context"))
+    seen = placed.select(F.explode(_marks(F.col("word"))).alias("mark"), "context").where("mark is not null")
     looked = odd.select("mark")
     if odd.count() <= BROADCAST_ROWS:
         looked = F.broadcast(looked)
